@@ -44,8 +44,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _hash_block(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start position, hash) of each word that lies wholly in ``raw``."""
+def _hash_block(raw: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(start position, hashes) of each word that lies wholly in ``raw``; a column for the word and each prefix."""
     global _UP, _DOWN
     if len(raw) > len(_UP):  # a single word longer than a block
         _UP, _DOWN = _powers(len(raw))
@@ -55,14 +55,24 @@ def _hash_block(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         total = np.concatenate([[np.uint64(0)], np.cumsum((raw + np.uint64(1)) * _UP[: len(raw)], dtype=np.uint64)])
         value = (total[end] - total[start]) * _DOWN[start]
-        return start, mix64(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = mix64(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        if not prefixes:
+            return start, found
+        columns = [found]
+        for k in prefixes:
+            part = (total[np.minimum(start + k, len(raw))] - total[start]) * _DOWN[start]
+            part = mix64(part + np.uint64(k) * np.uint64(0xC2B2AE3D27D4EB4F))
+            columns.append(np.where(end - start >= k, part, np.uint64(0)))
+        return start, np.stack(columns, axis=1)
+
+
+def word_hashes(text: pa.Array, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a string array, and each row's offsets into them.
 
     A null row has no words. Returns ``(hashes, offsets)`` where row ``i`` owns
-    ``hashes[offsets[i]:offsets[i + 1]]`` in text order.
+    ``hashes[offsets[i]:offsets[i + 1]]`` in text order. With ``prefixes``,
+    lengths in bytes, each word has a row of hashes: its own and those of its
+    prefixes, 0 for one that is longer than the word.
     """
     low = pc.utf8_lower(pc.fill_null(text.cast(pa.large_string()), ""))
     if isinstance(low, pa.ChunkedArray):
@@ -70,7 +80,7 @@ def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
     base, size = int(bounds[0]), int(bounds[-1] - bounds[0])
     if not size:
-        return np.zeros(0, np.uint64), np.zeros(len(low) + 1, np.int64)
+        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), np.zeros(len(low) + 1, np.int64)
     raw = np.frombuffer(low.buffers()[2], np.uint8)[base : base + size]
     # Rows must not run into each other: a word never crosses a row's end.
     cut = np.unique(bounds - base)
@@ -93,10 +103,10 @@ def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         block = raw[at:stop]
         if len(inner) and (_WORD[block[inner - 1]] & _WORD[block[inner]]).any():
             block = np.insert(block, inner, 32)
-            s, h = _hash_block(block)
+            s, h = _hash_block(block, prefixes)
             s = s - np.searchsorted(inner + np.arange(len(inner)), s, "right")
         else:
-            s, h = _hash_block(block)
+            s, h = _hash_block(block, prefixes)
         starts.append(s + at)
         hashes.append(h)
         at = stop
