@@ -92,18 +92,30 @@ def _content(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return mix64(np.add.reduceat(part, offsets[full])).view(np.int64) if len(full) else np.zeros(0, np.int64)
 
 
+def distinct_counts(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The number of distinct values of each row."""
+    row = segments(offsets)
+    order = np.lexsort((values, row))
+    v, r = values[order], row[order]
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
+    return np.bincount(r[new], minlength=len(offsets) - 1)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", 1 << 20):
             words, offsets = word_hashes(batch.column("text"))
             full = np.flatnonzero(np.diff(offsets))
-            sig = signatures(*shingle_hashes(words, offsets), ROWS * BANDS)
+            shingles, bounds = shingle_hashes(words, offsets)
+            sig = signatures(shingles, bounds, ROWS * BANDS)
+            size = distinct_counts(shingles, bounds)[full].astype(np.int32)
             with np.errstate(over="ignore"):
                 band = np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0xA24BAED4963EE407)
                 for k in range(ROWS):
                     band = mix64(band * np.uint64(0x2545F4914F6CDD1D) + sig[:, k::ROWS].astype(np.uint64))
             lists = pa.ListArray.from_arrays(np.arange(len(full) + 1, dtype=np.int32) * BANDS, band.reshape(-1).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(full), pa.array(_content(words, offsets)), lists], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(full), pa.array(_content(words, offsets)), pa.array(size), lists], names=["doc_id", "node", "size", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +128,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             want = batch.column("node").to_numpy()
             keep = np.flatnonzero(node == want)  # another row may share the doc_id with another text
             data = [np.unique(shingles[bounds[i] : bounds[i + 1]]).tobytes() for i in keep]
-            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), batch.column("roles").take(keep), pa.array(data, pa.binary())], names=["node", "roles", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(data, pa.binary())], names=["node", "data"])
 
 
 def _compare(threshold: float):
@@ -156,12 +168,12 @@ def _verify(docs: DataFrame, first: DataFrame, pairs: DataFrame, threshold: floa
     member = pairs.join(salts, "centre").select("node", "centre", F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("salt"), F.lit(1).alias("role"))
     # A salt that no member fell to makes a group of its centre alone, which compares nothing.
     lead = salts.select(F.col("centre").alias("node"), "centre", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("salt"), F.lit(0).alias("role"))
-    roles = member.union(lead).groupBy("node").agg(F.collect_list(F.struct("centre", "salt", "role")).alias("roles"))
-    need = roles.join(first, "node").select("doc_id", "node", "roles")
-    size = need.count()
-    joined = docs.join(F.broadcast(need) if size <= BROADCAST_ROWS // 8 else need, "doc_id").select("node", "roles", "text")
-    sets = joined.mapInArrow(_sets, "node long, roles array<struct<centre: long, salt: int, role: int>>, data binary")
-    flat = sets.select("node", "data", F.explode("roles").alias("r")).select("r.centre", "r.salt", "r.role", "node", "data")
+    roles = member.union(lead)
+    # Only ids are broadcast, and only while they are few; beyond that the texts are shuffled by doc_id.
+    need = roles.select("node").distinct().join(first, "node").select("doc_id", "node")
+    joined = docs.join(F.broadcast(need) if need.count() <= BROADCAST_ROWS else need, "doc_id").select("node", "text")
+    sets = joined.mapInArrow(_sets, "node long, data binary")
+    flat = sets.join(roles, "node").select("centre", "salt", "role", "node", "data")
     return flat.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role").mapInArrow(_compare(threshold), "a long, b long, jaccard double")
 
 
@@ -185,13 +197,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     small_batches(spark)
     scratch = Scratch(spark, "minhash")
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    sig = scratch.write(docs.mapInArrow(_sign, "doc_id long, node long, bands array<long>"), "sig")
+    sig = scratch.write(docs.mapInArrow(_sign, "doc_id long, node long, size int, bands array<long>"), "sig")
     ids = sig.select("doc_id", "node")
     first = ids.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
-    exploded = sig.select("node", F.explode("bands").alias("bucket")).repartition("bucket").distinct()
+    exploded = sig.select("node", "size", F.explode("bands").alias("bucket")).repartition("bucket").distinct()
     least = exploded.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    buckets = scratch.write(exploded.join(least, "bucket").select("bucket", "node", "centre"), "buckets")
+    buckets = scratch.write(exploded.join(least, "bucket").select("bucket", "node", "size", "centre"), "buckets")
 
     star = buckets.where("node != centre").select("node", "centre").distinct()
     tested = scratch.write(star.groupBy("node").agg(F.min("centre").alias("centre")), "pairs-0")
@@ -204,11 +216,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     for turn, pairs in ((1, star), (2, None)):
         if pairs is None:
             # One row for each component in a bucket that holds several; their pairs are all that is left.
-            mixed = labelled(buckets.select("bucket", "node"), "node", "la")
+            mixed = labelled(buckets.select("bucket", "node", "size"), "node", "la")
             several = mixed.groupBy("bucket").agg(F.min("la").alias("lo"), F.max("la").alias("hi")).where("lo != hi").select("bucket")
             mixed = scratch.write(mixed.join(several, "bucket"), "mixed")
-            other = mixed.select("bucket", F.col("node").alias("centre"), F.col("la").alias("lb"))
-            todo = mixed.join(other, "bucket").where("la != lb and node > centre").select("node", "centre").distinct()
+            other = mixed.select("bucket", F.col("node").alias("centre"), F.col("size").alias("other"), F.col("la").alias("lb"))
+            # A set much smaller than the other can't reach the threshold.
+            alike = F.least("size", "other") >= threshold * F.greatest("size", "other")
+            todo = mixed.join(other, "bucket").where("la != lb and node > centre").where(alike).select("node", "centre").distinct()
         else:
             todo = labelled(labelled(pairs, "node", "la"), "centre", "lb").where("la != lb").select("node", "centre")
         todo = scratch.write(todo.join(tested, ["node", "centre"], "left_anti"), f"pairs-{turn}")

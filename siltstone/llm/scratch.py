@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Keys up to which a side is broadcast (about 16 MB as a hashed relation of longs).
-BROADCAST_ROWS = 400_000
+#: Rows of one or two longs up to which a side is broadcast (a few MB as a hashed relation).
+BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
