@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -43,12 +44,12 @@ def decode_varint(data: bytes) -> list[int]:
     return out
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def varint_encode(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else encode_varint(v))
 
 
-@pandas_udf("array<bigint>")
+@pandas_udf(T.ArrayType(T.LongType()))
 def varint_decode(data: pd.Series) -> pd.Series:
     return data.map(lambda d: None if d is None else decode_varint(d))
 

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import extract_text, tokenize
+from siltstone.sources.scratch import work_folder
 
 #: Term buckets of a stored index; a query reads those of its own terms.
 BUCKETS = 64
@@ -28,6 +29,23 @@ def postings(tokens: DataFrame) -> DataFrame:
     return rows.groupBy("term", "document_id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).select("term", "document_id", "tf", "dl", "positions")
 
 
+def compact_ids(ids: DataFrame) -> DataFrame:
+    """``(document_id, compact_id)``: each distinct id and its rank from 0, in the ids' order.
+
+    Ranks are counted in range partitions and shifted by the partitions before;
+    only a count a partition is gathered. Null ids have no row.
+    """
+    spark = ids.sparkSession
+    path = work_folder(spark, "ids")
+    placed = ids.select("document_id").where("document_id is not null").distinct().repartitionByRange("document_id").withColumn("part", F.spark_partition_id())
+    placed.write.parquet(path)
+    rows = spark.read.schema("document_id string, part int").parquet(path)
+    counts = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("document_id"))
+    return rows.withColumn("rank", rank).join(F.broadcast(before), "part").select("document_id", (F.col("rank") - 1 + F.col("before")).cast("long").alias("compact_id"))  # a row a partition
+
+
 class AdHocIndex:
     """An index of the rows of a table, made as they are scanned.
 
@@ -53,7 +71,9 @@ class AdHocIndex:
     def frequencies(self, terms: list[str]) -> DataFrame:
         """``(document_id, dl, tf_0, tf_1, ...)`` of every document, one pass without a shuffle."""
         count = lambda t: F.size(F.filter("toks", lambda x: x == F.lit(t))).cast("long")
-        return self.tokens.select("document_id", F.size("toks").cast("long").alias("dl"), *[count(t).alias(f"tf_{i}") for i, t in enumerate(terms)])
+        made = F.struct(F.size("toks").cast("long").alias("dl"), *[count(t).alias(f"tf_{i}") for i, t in enumerate(terms)])
+        # A generator, so that conditions on counts don't move below it, where each would tokenise again.
+        return self.tokens.select("document_id", F.inline(F.array(made)))
 
     def statistics(self, terms: list[str]) -> DataFrame:
         """One row: ``n, avgdl, df_0, df_1, ...`` over the whole collection, whatever is filtered later."""
@@ -89,9 +109,10 @@ class AdHocIndex:
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         made = AdHocIndex(spark.read.schema(self.docs.schema).parquet(f"{path}/docs"), self.fields)
         bucketed = made.postings.withColumn("bucket", _bucket(F.col("term"), buckets))
-        bucketed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "document_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        # By ranges of terms and documents, so that a frequent term's postings are many tasks and files, each with narrow statistics.
+        bucketed.repartitionByRange("bucket", "term", "document_id").sortWithinPartitions("bucket", "term", "document_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         stored = StoredIndex(spark, path, self.fields, buckets)
-        stored.postings.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+        stored.postings.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
         made.collection.coalesce(1).write.mode("overwrite").parquet(f"{path}/collection")
         return stored
 

@@ -82,6 +82,11 @@ def _expanded(index: AdHocIndex, found: DataFrame, bm25: BM25, field: str) -> Da
     return hits
 
 
+def _within(positions: Column, before: Column, slop: int) -> Column:
+    """The positions that follow one of ``before`` with at most ``slop`` between them."""
+    return F.filter(positions, lambda p: F.exists(before, lambda o: (p > o) & (p - o - 1 <= slop)))
+
+
 def phrase_documents(index: AdHocIndex, q: Phrase) -> DataFrame:
     """Ids of documents with the tokens in order, at most ``slop`` others between neighbours.
 
@@ -98,7 +103,7 @@ def phrase_documents(index: AdHocIndex, q: Phrase) -> DataFrame:
     rows = rows.where(F.size("at") == len(distinct))
     reached = F.element_at("at", F.lit(tokens[0]))
     for t in tokens[1:]:
-        reached = F.filter(F.element_at("at", F.lit(t)), lambda p, r=reached: F.exists(r, lambda o: (p > o) & (p - o - 1 <= q.slop)))
+        reached = _within(F.element_at("at", F.lit(t)), reached, q.slop)
     return rows.where(F.size(reached) > 0).select("document_id")
 
 

@@ -198,11 +198,12 @@ class Store:
         return number
 
     def flush(self, name: str) -> int:
-        """Write the log's additions as a segment if nothing was removed, else all documents as one; the log is empty then."""
+        """Write the log's additions as a segment if they are all new, else all documents as one; the log is empty then."""
         manifest, log = self._manifest(name), self.log(name)
         if log.isEmpty():
             return 0
-        if not log.where("op = 'remove'").isEmpty():
+        changed = log.where("op = 'remove'").select("id").union(self.segments(name).join(log, "id", "left_semi").select("id"))
+        if not changed.isEmpty():
             return self.compact(name)
         number = self._segment(name, first_of_each(log, "id", [F.desc("seq")]), manifest)
         done, manifest["batches"] = manifest["batches"], []
