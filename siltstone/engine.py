@@ -16,7 +16,7 @@ from siltstone.operators.ordering import order, page
 from siltstone.operators.ranking import BM25, explain
 from siltstone.plans import logical
 from siltstone.plans.compiler import compile_filter, compile_query, predicate
-from siltstone.plans.dsl import Aggregation, Bool, ConstantScore, DisMax, Query, SearchRequest, parse_request
+from siltstone.plans.dsl import Aggregation, Bool, ConstantScore, DisMax, MatchAll, Query, SearchRequest, parse_request
 from siltstone.sources.mapping import Mapping, with_fields
 from siltstone.sources.store import Store
 
@@ -72,7 +72,6 @@ def execute(index: AdHocIndex, request: SearchRequest, bm25: BM25 | None = None,
     semi-joins. Sorting by score with a limit is a top-k, not a full sort.
     """
     bm25 = bm25 or BM25()
-    hits = compile_query(index, request.query, bm25)
     rows, joins = index.docs, []
     for f in request.filters:
         condition = predicate(index, f)
@@ -80,13 +79,17 @@ def execute(index: AdHocIndex, request: SearchRequest, bm25: BM25 | None = None,
             joins.append(compile_filter(index, f, bm25))
         else:
             rows = rows.where(condition)
+    needs_fields = bool(request.sort or request.aggregations or request.highlight)
+    if isinstance(request.query, MatchAll):  # every row is a hit: nothing to join
+        hits = rows.withColumn("score", F.lit(1.0))
+    else:
+        hits = compile_query(index, request.query, bm25)
+        if needs_fields:
+            hits = rows.join(hits, "document_id")
+        elif rows is not index.docs:
+            hits = hits.join(rows.select("document_id"), "document_id", "left_semi")
     for ids in joins:
         hits = hits.join(ids, "document_id", "left_semi")
-    needs_fields = bool(request.sort or request.aggregations or request.highlight)
-    if needs_fields:
-        hits = rows.join(hits, "document_id")
-    elif rows is not index.docs:
-        hits = hits.join(rows.select("document_id"), "document_id", "left_semi")
     out = page(order(hits, request.sort), request.offset, request.size)
     columns = [F.lit(name).alias("index"), F.col("document_id"), F.col("score")]
     if request.highlight:
