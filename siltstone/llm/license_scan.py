@@ -60,11 +60,21 @@ the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
 
 
 def align(a: list, b: list, alo: int = 0, ahi: int | None = None, blo: int = 0, bhi: int | None = None) -> list[tuple[int, int]]:
-    """Pairs of equal positions of ``a[alo:ahi]`` and ``b[blo:bhi]``, increasing in both, by patience."""
+    """Pairs of equal positions of ``a[alo:ahi]`` and ``b[blo:bhi]``, increasing in both, by patience.
+
+    Equal words at both ends of a gap are aligned first, so a gap without a
+    unique word isn't lost if the two sides are alike.
+    """
     found: list[tuple[int, int]] = []
     todo = [(alo, len(a) if ahi is None else ahi, blo, len(b) if bhi is None else bhi)]
     while todo:
         alo, ahi, blo, bhi = todo.pop()
+        while alo < ahi and blo < bhi and a[alo] == b[blo]:
+            found.append((alo, blo))
+            alo, blo = alo + 1, blo + 1
+        while alo < ahi and blo < bhi and a[ahi - 1] == b[bhi - 1]:
+            ahi, bhi = ahi - 1, bhi - 1
+            found.append((ahi, bhi))
         if alo >= ahi or blo >= bhi:
             continue
         place: dict = {}
