@@ -139,19 +139,20 @@ def _codebooks(vectors: DataFrame, dim: int, n: int) -> MultiIndex:
     return index
 
 
-def _best(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` least distances, by id among equals."""
-    if len(dist) > k:
-        some = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1])
-        return some[np.lexsort((ids[some], dist[some]))][:k]
-    return np.lexsort((ids, dist))
+#: Pairs that are compared exactly at a time.
+EXACT = 1 << 17
 
 
 def _top(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, entry, distance) positions of each query's ``k`` nearest other entries among those allowed."""
+    """(query, entry, distance) positions of each query's ``k`` nearest other entries among those allowed.
+
+    Single precision only chooses whom to compare: all within its error of the
+    k-th, so that equal distances, however many, are ordered by id.
+    """
     left, right, value = [], [], []
     order = np.argsort(ids, kind="stable")
     ranked = ids[order]
+    longest = float((x * x).sum(1).max()) if len(x) else 0.0
     for at in range(0, len(q), 256):
         part = q[at : at + 256]
         d = _distances(part, x)
@@ -160,15 +161,21 @@ def _top(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: in
         lo, hi = np.searchsorted(ranked, q_ids[at : at + 256]), np.searchsorted(ranked, q_ids[at : at + 256], "right")
         for i in np.flatnonzero(hi > lo):
             d[i, order[lo[i] : hi[i]]] = np.inf
-        few = min(k + 6, len(x))  # rounding may swap close ones; they are compared again in double precision
-        near = np.argpartition(d, few - 1, axis=1)[:, :few] if few < len(x) else np.tile(np.arange(len(x)), (len(part), 1))
-        for i in range(len(part)):
-            c = near[i][np.isfinite(d[i, near[i]])]
-            exact = ((x[c].astype(np.float64) - part[i].astype(np.float64)) ** 2).sum(1)
-            best = _best(exact, ids[c], k)
-            left.append(np.full(len(best), at + i))
-            right.append(c[best])
+        limit = np.partition(d, k - 1, axis=1)[:, k - 1] if k < len(x) else np.full(len(part), np.inf, np.float32)
+        limit = limit + 4e-6 * ((part * part).sum(1) + longest)
+        near = (d <= limit[:, None]) & np.isfinite(d)
+        bounds, i = np.concatenate([[0], np.cumsum(near.sum(1))]), 0
+        while i < len(part):
+            stop = max(i + 1, int(np.searchsorted(bounds, bounds[i] + EXACT, "right")) - 1)
+            row, entry = np.nonzero(near[i:stop])
+            exact = ((x[entry].astype(np.float64) - part[i:stop][row].astype(np.float64)) ** 2).sum(1)
+            best = np.lexsort((ids[entry], exact, row))
+            first = bounds[i:stop] - bounds[i]
+            best = best[np.arange(len(row)) - first[row] < k]  # lexsort keeps the rows' places
+            left.append(row[best] + at + i)
+            right.append(entry[best])
             value.append(exact[best])
+            i = stop
     empty = np.zeros(0, np.int64)
     return (np.concatenate(left), np.concatenate(right), np.concatenate(value)) if left else (empty, empty, np.zeros(0))
 

@@ -48,8 +48,8 @@ def test_normalisation_with_a_character_map():
     model.ParseFromString(norm.serialized_model_proto())
     own = object.__new__(sp_codec.Codec)
     own.map, own._user, own.user = sp_codec.CharacterMap(model.normalizer_spec.precompiled_charsmap), None, []
-    own.prefix = own.escape = False
-    own.trim, own.suffix = model.normalizer_spec.remove_extra_whitespaces, False
+    spec = model.normalizer_spec
+    own.prefix, own.escape, own.trim, own.suffix = spec.add_dummy_prefix, spec.escape_whitespaces, spec.remove_extra_whitespaces, False
     for text in ["ﬁne ①② Ａｂｃ", "㍿株式", "é ½ ｶﾞ", "x 　y  z ", "plain", "ﬃ" * 20, "한글 각"]:
         value, origin = own.normalize(text)
         assert value.decode() == norm.normalize(text)
