@@ -23,6 +23,7 @@ def spark(tmp_path_factory):
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": "3g",
+        "spark.sql.maxMetadataStringLength": "2000",  # plans name all pushed filters
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
     }
