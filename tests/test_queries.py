@@ -36,5 +36,5 @@ def test_filters_reach_the_scan(spark):
 
 
 def test_documents_are_tokenised_once_a_scan(spark):
-    plan = queries.bm25_match_or(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = queries.QUERIES["bm25_match_or"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("regexp_replace") == 2  # one for the scores and one for the statistics
