@@ -16,7 +16,7 @@ from siltstone.operators.ordering import order, page
 from siltstone.operators.ranking import BM25, explain
 from siltstone.plans import logical
 from siltstone.plans.compiler import compile_filter, compile_query, predicate
-from siltstone.plans.dsl import Aggregation, Bool, ConstantScore, DisMax, MatchAll, Query, SearchRequest, parse_request
+from siltstone.plans.dsl import Aggregation, Bool, ConstantScore, DisMax, Match, MatchAll, Query, SearchRequest, parse_request
 from siltstone.sources.mapping import Mapping, with_fields
 from siltstone.sources.store import Store
 
@@ -83,10 +83,12 @@ def execute(index: AdHocIndex, request: SearchRequest, bm25: BM25 | None = None,
     if isinstance(request.query, MatchAll):  # every row is a hit: nothing to join
         hits = rows.withColumn("score", F.lit(1.0))
     else:
-        hits = compile_query(index, request.query, bm25)
+        # Rows that filters leave out aren't tokenised, if the index can do without them.
+        view = index.among(rows) if rows is not index.docs and isinstance(request.query, Match) else None
+        hits = compile_query(view or index, request.query, bm25)
         if needs_fields:
             hits = rows.join(hits, "document_id")
-        elif rows is not index.docs:
+        elif rows is not index.docs and view is None:
             hits = hits.join(rows.select("document_id"), "document_id", "left_semi")
     for ids in joins:
         hits = hits.join(ids, "document_id", "left_semi")
@@ -212,8 +214,6 @@ class Engine:
 
     def search_text(self, name: str, text: str) -> DataFrame:
         """Free text: documents that hold every word, best first."""
-        from siltstone.plans.dsl import Match
-
         return order(compile_query(self.index(name), Match("", text, operator="and"), self.bm25))
 
     def explain_plan(self, request: SearchRequest | dict) -> logical.Plan:

@@ -50,11 +50,13 @@ class AdHocIndex:
     """An index of the rows of a table, made as they are scanned.
 
     ``docs`` has ``document_id`` and the fields; ``fields`` limits those whose
-    text is searched.
+    text is searched. ``rows`` are the documents that may be hits, all by
+    default; statistics are of ``docs`` whatever they are.
     """
 
-    def __init__(self, docs: DataFrame, fields: list[str] | None = None):
+    def __init__(self, docs: DataFrame, fields: list[str] | None = None, rows: DataFrame | None = None):
         self.docs = docs
+        self.rows = docs if rows is None else rows
         self.fields = [f for f in docs.columns if f != "document_id"] if fields is None else fields
 
     def text(self) -> Column:
@@ -64,21 +66,26 @@ class AdHocIndex:
     def tokens(self) -> DataFrame:
         return self.docs.select("document_id", tokenize(self.text()).alias("toks"))
 
+    def among(self, rows: DataFrame) -> AdHocIndex | None:
+        """The index with only some rows of ``docs`` as possible hits, if it can leave out the others before it scores."""
+        return AdHocIndex(self.docs, self.fields, rows)
+
     def only(self, field: str) -> AdHocIndex:
         """The index of one field, with statistics of its own."""
         return AdHocIndex(self.docs, [field])
 
-    def frequencies(self, terms: list[str]) -> DataFrame:
-        """``(document_id, dl, tf_0, tf_1, ...)`` of every document, one pass without a shuffle."""
+    def frequencies(self, terms: list[str], rows: DataFrame | None = None) -> DataFrame:
+        """``(document_id, dl, tf_0, tf_1, ...)`` of every possible hit, one pass without a shuffle."""
         count = lambda t: F.size(F.filter("toks", lambda x: x == F.lit(t))).cast("long")
         made = F.struct(F.size("toks").cast("long").alias("dl"), *[count(t).alias(f"tf_{i}") for i, t in enumerate(terms)])
         # A generator, so that conditions on counts don't move below it, where each would tokenise again.
-        return self.tokens.select("document_id", F.inline(F.array(made)))
+        tokens = (self.rows if rows is None else rows).select("document_id", tokenize(self.text()).alias("toks"))
+        return tokens.select("document_id", F.inline(F.array(made)))
 
     def statistics(self, terms: list[str]) -> DataFrame:
         """One row: ``n, avgdl, df_0, df_1, ...`` over the whole collection, whatever is filtered later."""
         dfs = [F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))]
-        return self.frequencies(terms).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *dfs)
+        return self.frequencies(terms, self.docs).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *dfs)
 
     @cached_property
     def postings(self) -> DataFrame:
@@ -149,7 +156,10 @@ class StoredIndex(AdHocIndex):
     def term_postings(self, terms: list[str]) -> DataFrame:
         return self._own(self.postings, terms).select("term", "document_id", "tf", "dl", "positions")
 
-    def frequencies(self, terms: list[str]) -> DataFrame:
+    def among(self, rows: DataFrame) -> None:
+        """Postings don't have the fields that choose rows; those are joined."""
+
+    def frequencies(self, terms: list[str], rows: DataFrame | None = None) -> DataFrame:
         """Of the documents that hold a term; the others have no part in a score."""
         rows = self._own(self.postings, terms)
         columns = [F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"tf_{i}") for i, t in enumerate(terms)]

@@ -26,22 +26,46 @@ class BM25:
         return F.when((tf > 0) & (dl > 0) & (avgdl > 0), part).otherwise(0.0)
 
 
-def scored(index: AdHocIndex, terms: list[str], bm25: BM25, boosts: dict[str, float] | None = None, boost: float = 1.0, require_all: bool = False) -> DataFrame:
-    """``(document_id, score)`` of the documents that hold a term, or all of them.
+@dataclass(frozen=True)
+class Words:
+    """Words to look for: any of them, or all; each weighs ``boost`` times its own boost."""
+
+    terms: tuple[str, ...]
+    boosts: tuple[tuple[str, float], ...] = ()
+    boost: float = 1.0
+    require_all: bool = False
+
+
+def evaluate(index: AdHocIndex, clauses: list[Words], bm25: BM25) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    """Rows of the documents that hold any of the words, and each clause's (match, score) on them.
 
-    The statistics are one row, broadcast; scoring is part of the scan. Only
-    positive scores are returned.
+    All clauses share one scan and one row of statistics, which is broadcast.
+    Only positive scores are matches.
     """
-    terms = list(dict.fromkeys(terms))
+    terms = list(dict.fromkeys(t for c in clauses for t in c.terms))
     if not terms:
-        return index.docs.select("document_id", F.lit(0.0).alias("score")).where(F.lit(False))
-    boosts = boosts or {}
+        none = index.docs.select("document_id").where(F.lit(False))
+        return none, [(F.lit(False), F.lit(0.0)) for _ in clauses]
     rows = index.frequencies(terms)
-    hit = [F.col(f"tf_{i}") > 0 for i in range(len(terms))]
-    rows = rows.where(reduce(lambda a, b: a & b if require_all else a | b, hit))
-    rows = rows.crossJoin(F.broadcast(index.statistics(terms)))
-    parts = [bm25.idf(F.col("n"), F.col(f"df_{i}")) * bm25.weight(F.col(f"tf_{i}"), F.col("dl"), F.col("avgdl")) * F.lit(boost * boosts.get(t, 1.0)) for i, t in enumerate(terms)]
-    return rows.select("document_id", reduce(lambda a, b: a + b, parts).alias("score")).where("score > 0")
+    hit = {t: F.col(f"tf_{i}") > 0 for i, t in enumerate(terms)}
+    rows = rows.where(reduce(lambda a, b: a | b, hit.values())).crossJoin(F.broadcast(index.statistics(terms)))
+    part = {t: bm25.idf(F.col("n"), F.col(f"df_{i}")) * bm25.weight(F.col(f"tf_{i}"), F.col("dl"), F.col("avgdl")) for i, t in enumerate(terms)}
+    found = []
+    for c in clauses:
+        own, boosts = list(dict.fromkeys(c.terms)), dict(c.boosts)
+        if not own:
+            found.append((F.lit(False), F.lit(0.0)))
+            continue
+        score = reduce(lambda a, b: a + b, [part[t] * F.lit(c.boost * boosts.get(t, 1.0)) for t in own])
+        match = reduce(lambda a, b: a & b if c.require_all else a | b, [hit[t] for t in own])  # noqa: B023
+        found.append((match & (score > 0), score))
+    return rows, found
+
+
+def scored(index: AdHocIndex, terms: list[str], bm25: BM25, boosts: dict[str, float] | None = None, boost: float = 1.0, require_all: bool = False) -> DataFrame:
+    """``(document_id, score)`` of the documents that hold a term, or all of them."""
+    rows, [(match, score)] = evaluate(index, [Words(tuple(terms), tuple((boosts or {}).items()), boost, require_all)], bm25)
+    return rows.where(match).select("document_id", score.alias("score"))
 
 
 def explain(index: AdHocIndex, terms: list[str], bm25: BM25) -> DataFrame:

@@ -16,7 +16,7 @@ from siltstone.errors import InvalidQuery
 from siltstone.functions import levenshtein_bytes, query_tokens, tokenize
 from siltstone.operators import filters as P
 from siltstone.operators.index import AdHocIndex
-from siltstone.operators.ranking import BM25, combine, scored
+from siltstone.operators.ranking import BM25, Words, combine, evaluate, scored
 from siltstone.plans.dsl import Bool, ConstantScore, DisMax, Exists, Fuzzy, Match, MatchAll, MatchNone, MultiMatch, Phrase, Prefix, Query, Range, Term, Terms
 
 #: Dictionary terms that a fuzzy or prefix query is expanded to in one plan; more are joined instead.
@@ -149,11 +149,35 @@ def compile_filter(index: AdHocIndex, q: Query, bm25: BM25 | None = None) -> Dat
     return compile_query(index, q, bm25).select("document_id")
 
 
+def words(q: Match) -> Words:
+    return Words(tuple(query_tokens(q.value)), tuple(q.term_boosts.items()), q.boost, q.operator == "and")
+
+
+def _plain(q: Query) -> bool:
+    """A match in all text, which needs no more than the counts of its words."""
+    return isinstance(q, Match) and not q.field
+
+
+def _one_scan(index: AdHocIndex, q: Bool, banned: list[Query], required: int, bm25: BM25) -> DataFrame:
+    """A bool query of plain matches: all its words are counted in one scan."""
+    rows, found = evaluate(index, [words(c) for c in (*q.must, *q.should, *banned)], bm25)
+    must, rest = found[: len(q.must)], found[len(q.must) :]
+    should, out = rest[: len(q.should)], rest[len(q.should) :]
+    good = [m for m, _ in must] + [~m for m, _ in out]
+    if required:
+        good.append(reduce(lambda a, b: a + b, [m.cast("int") for m, _ in should], F.lit(0)) >= required)
+    score = reduce(lambda a, b: a + b, [s for _, s in must] + [F.when(m, s).otherwise(0.0) for m, s in should])
+    return rows.where(reduce(lambda a, b: a & b, good)).select("document_id", score.alias("score"))
+
+
 def _bool(index: AdHocIndex, q: Bool, bm25: BM25) -> DataFrame:
     """Scores of must and should add up; what is a condition on rows stays one and isn't joined."""
     rows = index.docs
     joins = []
-    for kind, parts in (("left_semi", q.filter), ("left_anti", q.must_not)):
+    required = q.minimum_should_match if (q.must or q.filter) else max(1, q.minimum_should_match) if q.should else 0
+    together = all(map(_plain, q.must + q.should)) and bool(q.must or required)
+    banned = [p for p in q.must_not if together and _plain(p)]
+    for kind, parts in (("left_semi", q.filter), ("left_anti", [p for p in q.must_not if p not in banned])):
         for p in parts:
             condition = predicate(index, p)
             if condition is None:
@@ -162,11 +186,14 @@ def _bool(index: AdHocIndex, q: Bool, bm25: BM25) -> DataFrame:
                 rows = rows.where(condition)
             else:
                 rows = rows.where(~F.coalesce(condition, F.lit(False)))
-    required = q.minimum_should_match if (q.must or q.filter) else max(1, q.minimum_should_match) if q.should else 0
-    sides = [compile_query(index, p, bm25).withColumn("m", F.lit(1)).withColumn("s", F.lit(0)) for p in q.must]
-    sides += [compile_query(index, p, bm25).withColumn("m", F.lit(0)).withColumn("s", F.lit(1)) for p in q.should]
-    if not sides:
+    sides = [] if together else [compile_query(index, p, bm25).withColumn("m", F.lit(1)).withColumn("s", F.lit(0)) for p in q.must]
+    sides += [] if together else [compile_query(index, p, bm25).withColumn("m", F.lit(0)).withColumn("s", F.lit(1)) for p in q.should]
+    if not sides and not together:
         out = rows.select("document_id", F.lit(0.0).alias("score"))
+    elif together:
+        view = index if rows is index.docs else index.among(rows)
+        out = _one_scan(view or index, q, banned, required, bm25)
+        out = out if view else out.join(rows.select("document_id"), "document_id", "left_semi")
     else:
         # One aggregate instead of a join a clause.
         total = reduce(lambda a, b: a.unionByName(b), sides).groupBy("document_id").agg(F.sum("score").alias("score"), F.sum("m").alias("m"), F.sum("s").alias("s"))
