@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import segments, slices, word_hashes
-from .scratch import small_batches
+from .scratch import Scratch, small_batches
 
 BITS = 18
 FACTORS = 8
@@ -82,32 +83,44 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(text: pa.Array, toxic: np.ndarray, factors: int = FACTORS, epochs: int = 30, rate: float = 0.1, seed: int = 5) -> FactorizationMachine:
-    """Fit by AdaGrad on mini-batches of the logistic loss; a fifth of the rows is held out to set the threshold.
+def informative(seen: np.ndarray, hit: np.ndarray, rows: int, positive: float) -> np.ndarray:
+    """Which terms take part, from the training rows that have a term (``seen``), the toxic ones among them (``hit``) and the totals.
 
     Terms take part if they are in at least ``LEAST`` training rows and their
     chi-square with the label is over ``CHI2``; others say nothing that holds
-    elsewhere. With one class only, every score is its prior.
+    elsewhere.
     """
-    rng = np.random.default_rng(seed)
-    dim, n = 1 << BITS, len(toxic)
+    positive = max(1.0, positive)
+    a, b, c, d = hit, seen - hit, positive - hit, rows - positive - seen + hit
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi2 = np.nan_to_num(rows * (a * d - b * c) ** 2 / (seen * (rows - seen) * positive * (rows - positive)))
+    return (seen >= LEAST) & (chi2 > CHI2)
+
+
+def fit(text: pa.Array, toxic: np.ndarray, seed: int = 5, **options) -> FactorizationMachine:
+    """Fit on texts; a fifth of the rows is held out to set the threshold. With one class only, every score is its prior."""
     y = toxic.astype(np.float64)
-    positive = y.sum()
-    if not 0 < positive < n:
-        return FactorizationMachine(-20.0 if positive == 0 else 20.0, np.zeros(dim, bool), np.zeros(dim, np.int32), np.zeros(1, np.float32), np.zeros((1, factors), np.float32), 0.5)
+    if not 0 < y.sum() < len(y):
+        return _prior(y)
     row, term, value, _ = hashed_terms(text)
-    held = rng.random(n) < 0.2
+    held = np.random.default_rng(seed).random(len(y)) < 0.2
     mine = ~held[row]
-    seen = np.bincount(term[mine], minlength=dim).astype(float)
-    hit = np.bincount(term[mine], y[row[mine]], dim)
-    m, pos = (~held).sum(), max(1.0, y[~held].sum())
-    a, b, c, d = hit, seen - hit, pos - hit, m - pos - seen + hit
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = np.nan_to_num(m * (a * d - b * c) ** 2 / (seen * (m - seen) * pos * (m - pos)))
-    used = (seen >= LEAST) & (chi2 > CHI2)
-    place = np.where(used, np.cumsum(used) - 1, 0).astype(np.int32)
+    seen = np.bincount(term[mine], minlength=1 << BITS).astype(float)
+    used = informative(seen, np.bincount(term[mine], y[row[mine]], 1 << BITS), int((~held).sum()), y[~held].sum())
     kept = used[term]
-    row, at_term, value = row[kept], place[term[kept]], value[kept]
+    return _fit(row[kept], term[kept], value[kept], y, held, used, **options)
+
+
+def _prior(y: np.ndarray, factors: int = FACTORS) -> FactorizationMachine:
+    return FactorizationMachine(20.0 if y.sum() else -20.0, np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.int32), np.zeros(1, np.float32), np.zeros((1, factors), np.float32), 0.5)
+
+
+def _fit(row: np.ndarray, term: np.ndarray, value: np.ndarray, y: np.ndarray, held: np.ndarray, used: np.ndarray, factors: int = FACTORS, epochs: int = 30, rate: float = 0.1, seed: int = 5) -> FactorizationMachine:
+    """Fit by AdaGrad on mini-batches of the logistic loss, from the (row, term, value) triples of the terms in use, sorted by row."""
+    rng = np.random.default_rng(seed)
+    n, positive = len(y), y.sum()
+    place = np.where(used, np.cumsum(used) - 1, 0).astype(np.int32)
+    at_term = place[term]
     size = max(1, int(used.sum()))
     bounds = np.searchsorted(row, np.arange(n + 1))
     weight = np.where(y > 0, min(MAX_BALANCE, (n - positive) / positive), 1.0)
@@ -135,7 +148,7 @@ def fit(text: pa.Array, toxic: np.ndarray, factors: int = FACTORS, epochs: int =
             sum_p[unique] += gp**2
             pair[unique] -= rate * gp / np.sqrt(sum_p[unique])
     model = FactorizationMachine(float(bias), used, place, linear, pair, 0.5)
-    p = model.scores(row, term[kept], value, n)
+    p = model.scores(row, term, value, n)
     order = np.argsort(-p[held], kind="stable")
     ranked, right = p[held][order], np.cumsum(y[held][order])
     threshold = 0.5
@@ -150,13 +163,54 @@ def fit(text: pa.Array, toxic: np.ndarray, factors: int = FACTORS, epochs: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> FactorizationMachine:
-    """Fit on at most ``rows`` labelled documents, those whose doc_id hashes least; null ids, texts and labels are left out."""
+    """Fit on at most ``rows`` labelled documents, those whose doc_id hashes least; null ids, texts and labels are left out.
+
+    The sample's texts stay in the executors: they count terms there, and only
+    the triples of the informative terms come to the driver.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark, "toxicity")
     # The bounded sample is the only broadcast: `rows` ids and labels.
-    sample = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = docs.select("doc_id", "text").dropna().join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").toArrow()
-    got = got.take(pa.compute.sort_indices(got, [("doc_id", "ascending"), ("text", "ascending")]))
-    text = got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string())
-    return fit(text, got.column("toxic").to_numpy() > 0)
+    labelled = labels.select("doc_id", (F.col("toxic").cast("int") > 0).cast("int").alias("toxic")).dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    held = (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0).alias("held")
+    sample = scratch.write(docs.select("doc_id", "text").dropna().join(F.broadcast(labelled), "doc_id").select("doc_id", "text", "toxic", held), "sample")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, hit = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 20):
+                row, term, _, _ = hashed_terms(batch.column("text"))
+                seen += np.bincount(term, minlength=1 << BITS)
+                hit += np.bincount(term[batch.column("toxic").to_numpy()[row] > 0], minlength=1 << BITS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at]), pa.array(hit[at])], names=["term", "seen", "hit"])
+
+    total = sample.where("not held").agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("positive")).first()
+    counts = sample.where("not held").select("text", "toxic").mapInArrow(count, "term long, seen long, hit long").groupBy("term").agg(F.sum("seen").alias("seen"), F.sum("hit").alias("hit"))
+    got = counts.where(F.col("seen") >= LEAST).toPandas()  # 2**BITS rows at most
+    seen, hit = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    seen[got["term"].to_numpy(np.int64)], hit[got["term"].to_numpy(np.int64)] = got["seen"], got["hit"]
+    used = informative(seen, hit, total["n"], total["positive"])
+    shared = spark.sparkContext.broadcast(used)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 20):
+                row, term, value, _ = hashed_terms(batch.column("text"), shared.value)
+                ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (term, value)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("held"), *lists], names=["doc_id", "toxic", "held", "term", "value"])
+
+    made = sample.mapInArrow(pick, "doc_id long, toxic int, held boolean, term array<long>, value array<float>").orderBy("doc_id", "term", "value").toArrow().combine_chunks()
+    scratch.drop("sample")
+    y = made.column("toxic").to_numpy().astype(np.float64)
+    if not 0 < y.sum() < len(y):
+        return _prior(y)
+    flat = [made.column(c).combine_chunks() for c in ("term", "value")]
+    size = pa.compute.list_value_length(flat[0]).to_numpy()
+    term, value = (c.flatten().to_numpy() for c in flat)
+    return _fit(np.repeat(np.arange(len(y)), size), term, value, y, made.column("held").to_numpy(), used)
 
 
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
