@@ -7,8 +7,8 @@ subwords are classes of their own. Class shares come from the counts over all
 documents.
 
 Training is local stochastic gradient descent: every run of ``REPLICA`` tokens
-trains a copy of the model on its windows, the copies are averaged by a tree of
-small groups, and the average starts the next round. Scoring cuts a document
+trains a copy of the model on the windows of the round, the copies are averaged by a tree of
+small groups, and the average starts the next round. Each window is in one round. Scoring cuts a document
 into overlapping windows and scores each token once, in the first window that
 gives it at least ``CONTEXT - STRIDE`` tokens of context, or all there are.
 """
@@ -30,8 +30,8 @@ from .scratch import Scratch, small_batches
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CONTEXT, STRIDE = 64, 48
 WIDTH, CLASSES, INPUTS = 16, 128, 2048
-#: Tokens that train one copy; one window in ``EVERY`` of every document does, another in each of the ``ROUNDS``.
-REPLICA, EVERY, ROUNDS, BATCH = 1 << 20, 32, 2, 16
+#: Tokens that train one copy; every window of every document trains in one of the ``ROUNDS``, in batches of ``BATCH``.
+REPLICA, ROUNDS, BATCH = 1 << 20, 2, 16
 RATE = 0.01
 #: Copies averaged in one group.
 FAN_IN = 64
@@ -110,34 +110,50 @@ def initial(v: Vocabulary, seed: int = 1) -> np.ndarray:
 _MASK = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
 
 
+def _far(z: np.ndarray) -> bool:
+    """Whether exponentials of ``z`` need its rows' maxima taken off."""
+    return bool(z.size) and max(z.max(), -z.min()) > 60
+
+
+def _softmax(z: np.ndarray, far: bool) -> None:
+    if far:
+        z -= z.max(-1, keepdims=True)
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[-1], z.dtype))[..., None]
+
+
 def gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, on: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the positions ``on`` of windows of input rows ``x`` and classes ``y``, and its gradient."""
-    b, n, d = len(x), max(1, int(on.sum())), WIDTH
+    b, d, live = len(x), WIDTH, np.flatnonzero(on)
+    n = max(1, len(live))
     h0 = p["emb"][x] + p["pos"]
     q, k, v = h0 @ p["q"], h0 @ p["k"], h0 @ p["v"]
-    a = q @ k.transpose(0, 2, 1) / np.float32(np.sqrt(d)) + _MASK
-    a -= a.max(-1, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(-1, keepdims=True)
+    a = q @ k.transpose(0, 2, 1)
+    a *= np.float32(1 / np.sqrt(d))
+    far = _far(a)
+    a += _MASK
+    _softmax(a, far)
     mixed = a @ v
-    h = h0 + mixed @ p["o"]
-    z = h.reshape(-1, d) @ p["out"] + p["bias"]
-    z -= z.max(-1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(-1, keepdims=True)
-    at, live = np.arange(z.shape[0]), on.reshape(-1)
-    loss = -np.log(np.maximum(z[at, y.reshape(-1)][live], 1e-30)).mean() if live.any() else 0.0
-    z[at, y.reshape(-1)] -= 1
-    z *= (live / np.float32(n)).astype(np.float32)[:, None]
-    g = {"out": h.reshape(-1, d).T @ z, "bias": z.sum(0)}
-    dh = (z @ p["out"].T).reshape(b, CONTEXT, d)
+    h = (h0 + mixed @ p["o"]).reshape(-1, d)[live]
+    z = h @ p["out"]
+    z += p["bias"]
+    _softmax(z, _far(z))
+    at, target = np.arange(len(live)), y.reshape(-1)[live]
+    loss = -np.log(np.maximum(z[at, target], 1e-30)).mean() if len(live) else 0.0
+    z[at, target] -= 1
+    z *= np.float32(1 / n)
+    g = {"out": h.T @ z, "bias": z.sum(0)}
+    dh = np.zeros((b * CONTEXT, d), np.float32)
+    dh[live] = z @ p["out"].T
+    dh = dh.reshape(b, CONTEXT, d)
     flat = lambda m: m.reshape(-1, d)
     g["o"] = flat(mixed).T @ flat(dh)
     dm = dh @ p["o"].T
     da = dm @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dm
-    da -= (da * a).sum(-1, keepdims=True)
-    da *= a / np.float32(np.sqrt(d))
+    da -= np.einsum("bij,bij->bi", da, a)[..., None]
+    da *= a
+    da *= np.float32(1 / np.sqrt(d))
     dq, dk = da @ k, da.transpose(0, 2, 1) @ q
     g["q"], g["k"], g["v"] = flat(h0).T @ flat(dq), flat(h0).T @ flat(dk), flat(h0).T @ flat(dv)
     dh0 = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
@@ -247,27 +263,43 @@ def _concat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(b.as_buffer() for b in column), np.uint16), np.concatenate([[0], np.cumsum(size)])
 
 
+def turn_windows(ids: np.ndarray, count: int, turn: int) -> np.ndarray:
+    """Which of a document's ``count`` windows train in a round; each does in one.
+
+    The document's content decides, so partitions don't matter.
+    """
+    mark = int(ids[: CONTEXT * 2].astype(np.int64).sum()) * 31 + len(ids) + turn
+    return np.arange((-mark) % ROUNDS, count, ROUNDS)
+
+
 def _train(shared, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         v, flat = shared.value
         part = TaskContext.get().partitionId()
-        copy, tokens, number, held = Adam(flat.copy(), v), 0, 0, []
+        copy, tokens, number, held, waiting = Adam(flat.copy(), v), 0, 0, [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal copy, tokens, number, held
-            if held:
-                step()
+            nonlocal copy, tokens, number, held, waiting
+            steps(1)
             blocks = [copy.flat[i : i + BLOCK] for i in range(0, len(copy.flat), BLOCK)]
             out = pa.RecordBatch.from_arrays([pa.array([(part << 20) + number] * len(blocks), pa.int64()), pa.array(range(len(blocks)), pa.int32()), pa.array([float(copy.t)] * len(blocks)), pa.array([b.astype(np.float32).tobytes() for b in blocks], pa.binary())], names=["copy", "block", "weight", "data"])
-            copy, tokens, number, held = Adam(flat.copy(), v), 0, number + 1, []
+            copy, tokens, number, held, waiting = Adam(flat.copy(), v), 0, number + 1, [], 0
             return out
 
-        def step() -> None:
+        def steps(least: int) -> None:
+            """Steps of ``BATCH`` windows; fewer than ``least`` are held."""
+            nonlocal held, waiting
+            if waiting < least:
+                return
             x, y = (np.concatenate([w[k] for w in held]) for k in range(2))
-            copy.step(x, np.where(y >= 0, v.cls[y], 0), y >= 0)
-            held.clear()
+            at = 0
+            while len(x) - at >= least:
+                now = y[at : at + BATCH]
+                copy.step(x[at : at + BATCH], np.where(now >= 0, v.cls[now], 0), now >= 0)
+                at += BATCH
+            held, waiting = [(x[at:], y[at:])] if at < len(x) else [], max(0, len(x) - at)
 
         for batch in batches:
             ids, offsets = _concat(batch)
@@ -276,14 +308,12 @@ def _train(shared, turn: int):
                 if not len(mine):
                     continue
                 x, y, first = windows(mine, v)
-                # The document's content decides which of its windows train, so partitions don't matter.
-                mark = int(mine[: CONTEXT * 2].astype(np.int64).sum()) * 31 + len(mine) + turn * (EVERY // ROUNDS)
-                pick = np.arange((-mark) % EVERY, len(x), EVERY)
+                pick = turn_windows(mine, len(x), turn)
                 if len(pick):
                     y = np.where(np.arange(CONTEXT) >= first[pick][:, None], y[pick], -1)
                     held.append((x[pick], y))
-                    if sum(len(w[0]) for w in held) >= BATCH:
-                        step()
+                    waiting += len(pick)
+                    steps(BATCH)
                 tokens += len(mine)
                 if tokens >= REPLICA:
                     yield flush()

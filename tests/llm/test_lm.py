@@ -118,3 +118,27 @@ def test_odd_documents(odd, none):
         assert (by[i]["n_tokens"], by[i]["logprob"], by[i]["perplexity"]) == (0, 0.0, None)
     assert by[1]["logprob"] == pytest.approx(by[2]["logprob"]) and by[7]["logprob"] == pytest.approx(by[8]["logprob"])
     assert by[9]["n_tokens"] == 1 and by[9]["logprob"] < 0
+
+
+def test_every_token_trains_once(v, monkeypatch):
+    """Also those of documents of one window, and of documents of many: no step takes more than a batch."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    trained, sizes = [], []
+
+    def step(self, x, y, on):
+        sizes.append(len(x))
+        trained.extend(y[on].tolist())
+        self.t += 1
+
+    monkeypatch.setattr(lm.Adam, "step", step)
+    monkeypatch.setattr(TaskContext, "get", lambda: type("T", (), {"partitionId": lambda _: 0})())
+    rng = np.random.default_rng(7)
+    docs = [rng.integers(0, 400, n).astype(np.uint16) for n in (0, 1, 5, 63, 64, 65, 113, 400, 4000, *range(20, 40))]
+    batch = pa.RecordBatch.from_arrays([pa.array([d.tobytes() for d in docs], pa.binary())], names=["ids"])
+    shared = type("S", (), {"value": (v, lm.initial(v))})
+    for turn in range(lm.ROUNDS):
+        assert list(lm._train(shared, turn)([batch]))
+    assert sorted(trained) == sorted(v.cls[np.concatenate(docs)].tolist())
+    assert max(sizes) <= lm.BATCH
