@@ -1,7 +1,8 @@
 """License texts in documents, by patience alignment with templates.
 
-A document is searched in windows of twice a template's words, one template
-length apart, so any copy lies whole in some window. A window is aligned if it
+A document is searched in windows of two and of three times a template's words,
+one template length apart, so any copy of up to twice the template's words lies
+whole in some window. A window is aligned if it
 shares enough words to reach the threshold at all. The alignment anchors on
 words that are unique in both sides, takes the longest increasing subsequence
 of the anchors and aligns the gaps between them in the same way.
@@ -150,20 +151,24 @@ class Matcher:
         own = np.isin(number, kind)
         place, number = place[own], number[own]
         window = place // m
-        # Words shared by each window of two blocks: its own block's counts and the next one's.
-        slot = np.unique(np.concatenate([window, np.maximum(window - 1, 0)]))
+        # Words shared by each window: the counts of its own block and of the next one or two. The narrow windows
+        # have more words that are unique, the wide ones hold copies whole that have foreign words inside.
+        slot = np.unique(np.maximum(np.concatenate([window, window - 1, window - 2]), 0))
         count = np.zeros((len(slot), size), np.int32)
-        np.add.at(count, (np.searchsorted(slot, window), number), 1)
-        later = window > 0
-        np.add.at(count, (np.searchsorted(slot, window[later] - 1), number[later]), 1)
-        best = None
+        found = []
         wanted = template.tolist()
-        for s in slot[np.minimum(count[:, kind], need).sum(axis=1) >= enough]:
-            lo, hi = np.searchsorted(place, [s * m, (s + 2) * m])
-            pairs = align(number[lo:hi].tolist(), wanted)
-            if len(pairs) >= enough and (best is None or len(pairs) > best[0]):
-                best = len(pairs), int(place[lo + pairs[0][0]]), int(place[lo + pairs[-1][0]])
-        return best
+        for blocks in (1, 2, 3):
+            later = window >= blocks - 1
+            np.add.at(count, (np.searchsorted(slot, window[later] - (blocks - 1)), number[later]), 1)
+            if blocks == 1:
+                continue
+            for s in slot[np.minimum(count[:, kind], need).sum(axis=1) >= enough]:
+                lo, hi = np.searchsorted(place, [s * m, (s + blocks) * m])
+                pairs = align(number[lo:hi].tolist(), wanted)
+                if len(pairs) >= enough:
+                    found.append((len(pairs), int(place[lo + pairs[0][0]]), int(place[lo + pairs[-1][0]])))
+        # The one that ends first of those with most words, and the shortest of these.
+        return min(found, key=lambda f: (-f[0], f[2], -f[1]), default=None)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:

@@ -105,3 +105,19 @@ def test_threshold(spark, threshold):
     docs = spark.createDataFrame([(1, " ".join(w[: int(len(w) * 0.7)]))], "doc_id long, text string")
     got = L.scan(docs, {"a": L.TEMPLATES["Apache-2.0-header"]}, threshold).count()
     assert got == (threshold == 0.5)
+
+
+@pytest.mark.parametrize("changed", [0, 10])
+def test_foreign_words_at_every_offset(changed):
+    """A copy with as many foreign words inside as it has words is found whole wherever it begins."""
+    from siltstone.llm.kernels import word_hashes
+
+    m = 50
+    template = [f"t{i}" for i in range(m)]
+    matcher = L.Matcher({"a": " ".join(template)}, L.THRESHOLD)
+    copy = [w if not changed or i % changed != changed // 2 else "zzz" for i, w in enumerate(template)]
+    inside = [w for i, w in enumerate(copy) for w in ((w, f"foreign{i}") if i < m - 1 else (w,))]
+    texts = [" ".join(["before"] * (3 * m + k) + inside + ["after"] * 50) for k in range(m)]
+    got = {f[0]: f[2:] for f in matcher.find(*word_hashes(L.pa.array(texts)))}
+    whole = sum(w != "zzz" for w in copy) / m
+    assert got == {k: (whole, 3 * m + k, 3 * m + k + len(inside) - 1) for k in range(m)}
