@@ -30,6 +30,8 @@ MAX_BALANCE = 20.0
 PREFIXES = (4, 5, 6, 7, 8)
 #: A term takes part if it is in so many training rows and its chi-square with the label is over the second.
 LEAST, CHI2 = 4, 15.0
+#: Or if it is one of so many most frequent terms and a pair with another of them has a chi-square over the second; a pair is in at least the third of rows.
+FREQUENT, PAIR_CHI2, PAIR_LEAST = 4096, 45.0, 10
 
 
 @dataclass(frozen=True)
@@ -88,13 +90,53 @@ def informative(seen: np.ndarray, hit: np.ndarray, rows: int, positive: float) -
 
     Terms take part if they are in at least ``LEAST`` training rows and their
     chi-square with the label is over ``CHI2``; others say nothing that holds
-    elsewhere.
+    elsewhere. ``Pairs`` adds terms that say something together.
     """
-    positive = max(1.0, positive)
+    return (seen >= LEAST) & (_chi2(seen, hit, rows, max(1.0, positive)) > CHI2)
+
+
+def _chi2(seen, hit, rows, positive) -> np.ndarray:
     a, b, c, d = hit, seen - hit, positive - hit, rows - positive - seen + hit
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = np.nan_to_num(rows * (a * d - b * c) ** 2 / (seen * (rows - seen) * positive * (rows - positive)))
-    return (seen >= LEAST) & (chi2 > CHI2)
+        return np.nan_to_num(rows * (a * d - b * c) ** 2 / (seen * (rows - seen) * positive * (rows - positive)), posinf=0)
+
+
+class Pairs:
+    """Counts the training rows, and the toxic ones, that have two of the most frequent terms.
+
+    A pair takes part if each term tells toxic rows from others among the rows
+    that have the other one, so a term isn't admitted for company of an insult.
+    """
+
+    def __init__(self, seen: np.ndarray):
+        self.terms = np.argsort(-seen, kind="stable")[:FREQUENT]
+        self.terms = np.sort(self.terms[seen[self.terms] >= PAIR_LEAST])
+        self.place = np.full(1 << BITS, -1, np.int32)
+        self.place[self.terms] = np.arange(len(self.terms))
+        self.seen, self.hit = (np.zeros((len(self.terms),) * 2, np.float32) for _ in range(2))
+
+    def add(self, row: np.ndarray, term: np.ndarray, toxic: np.ndarray) -> None:
+        """Counts rows, from their (row, term) pairs sorted by row and their labels."""
+        at = self.place[term]
+        row, at = row[at >= 0], at[at >= 0]
+        for start in range(0, len(toxic), 1024):
+            lo, hi = np.searchsorted(row, [start, start + 1024])
+            has = np.zeros((min(1024, len(toxic) - start), len(self.terms)), np.float32)
+            has[row[lo:hi] - start, at[lo:hi]] = 1
+            self.seen += has.T @ has
+            has = has[toxic[start : start + 1024] > 0]
+            self.hit += has.T @ has
+
+    def admitted(self) -> np.ndarray:
+        """The terms of pairs that take part."""
+        seen, hit = np.diag(self.seen).astype(float), np.diag(self.hit).astype(float)
+        found = np.zeros(len(self.terms), bool)
+        for lo in range(0, len(self.terms), 256):
+            mine = slice(lo, lo + 256)
+            s, h = self.seen[mine].astype(float), self.hit[mine].astype(float)
+            least = np.minimum(_chi2(s, h, seen[mine, None], hit[mine, None]), _chi2(s, h, seen, hit))
+            found[mine] = ((s >= PAIR_LEAST) & (least > PAIR_CHI2)).any(axis=1)
+        return self.terms[found]
 
 
 def fit(text: pa.Array, toxic: np.ndarray, seed: int = 5, **options) -> FactorizationMachine:
@@ -107,6 +149,9 @@ def fit(text: pa.Array, toxic: np.ndarray, seed: int = 5, **options) -> Factoriz
     mine = ~held[row]
     seen = np.bincount(term[mine], minlength=1 << BITS).astype(float)
     used = informative(seen, np.bincount(term[mine], y[row[mine]], 1 << BITS), int((~held).sum()), y[~held].sum())
+    pairs, place = Pairs(seen), np.cumsum(~held) - 1
+    pairs.add(place[row[mine]], term[mine], y[~held])
+    used[pairs.admitted()] = True
     kept = used[term]
     return _fit(row[kept], term[kept], value[kept], y, held, used, **options)
 
@@ -192,6 +237,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Fact
     seen, hit = np.zeros(1 << BITS), np.zeros(1 << BITS)
     seen[got["term"].to_numpy(np.int64)], hit[got["term"].to_numpy(np.int64)] = got["seen"], got["hit"]
     used = informative(seen, hit, total["n"], total["positive"])
+    frequent = spark.sparkContext.broadcast(seen)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = Pairs(frequent.value)
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 20):
+                row, term, _, _ = hashed_terms(batch.column("text"))
+                pairs.add(row, term, batch.column("toxic").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(pairs.admitted())], names=["term"])
+
+    # One task, as the table of pairs is one; the sample bounds it at every size.
+    admitted = sample.where("not held").select("text", "toxic").coalesce(1).mapInArrow(together, "term long").toPandas()
+    used[admitted["term"].to_numpy(np.int64)] = True
     shared = spark.sparkContext.broadcast(used)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

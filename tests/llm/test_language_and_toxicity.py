@@ -101,3 +101,35 @@ def test_odd_toxicity(spark, odd, none):
     assert not any(r["is_toxic"] for r in toxicity.score(odd, unlabelled).collect())
     empty = toxicity.train(none, labels)
     assert not any(r["is_toxic"] for r in toxicity.score(odd, empty).collect())
+
+
+def exclusive():
+    """Texts that are toxic by exclusive or of two words, each of which says nothing alone."""
+    rng = np.random.default_rng(0)
+    texts = [f"{' '.join(f'w{rng.integers(40)}' for _ in range(6))} {'dreadful' if i & 1 else 'pleasant'} {'strangers' if i & 2 else 'weather'}" for i in range(1200)]
+    return texts, np.array([bool(i & 1) != bool(i & 2) for i in range(1200)])
+
+
+def test_exclusive_or_is_learned():
+    texts, y = exclusive()
+    p, found = toxicity.fit(pa.array(texts), y).apply(pa.array(["w1 dreadful strangers", "w1 dreadful weather", "w1 pleasant strangers", "w1 pleasant weather"]))
+    assert found.tolist() == [False, True, True, False] and (np.abs(p - 0.5) > 0.3).all()
+
+
+def test_exclusive_or_is_learned_from_tables(spark):
+    texts, y = exclusive()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(y)], "doc_id long, toxic int")
+    rows = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert np.mean([r["is_toxic"] == y[r["doc_id"]] for r in rows]) > 0.95
+
+
+def test_pairs_of_unrelated_words_take_no_part():
+    """Nor does a word that is only often beside an insult."""
+    rng = np.random.default_rng(2)
+    toxic = rng.random(2000) < 0.2
+    texts = [" ".join([*(f"w{i}" for i in rng.integers(0, 60, 12)), *(["awful"] if t else [])]) for t in toxic]
+    row, term, _, _ = toxicity.hashed_terms(pa.array(texts))
+    pairs = toxicity.Pairs(np.bincount(term, minlength=1 << toxicity.BITS).astype(float))
+    pairs.add(row, term, toxic)
+    assert len(pairs.terms) > 60 and not len(pairs.admitted())
