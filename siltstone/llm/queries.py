@@ -32,8 +32,8 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest neighbours of every embedding."""
-    return ann.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """The ten nearest neighbours, among all embeddings, of each whose id 100 divides."""
+    return ann.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=ann.EVERY)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one or two longs up to which a side is broadcast (a few MB as a hashed relation).
 BROADCAST_ROWS = 100_000
@@ -26,12 +27,17 @@ class Scratch:
     """Named Parquet tables of one run, in a sub-folder of its own.
 
     A written table cuts the lineage: an executor that is lost costs only the
-    tasks that ran on it. ``drop`` removes what no later step reads.
+    tasks that ran on it. ``drop`` removes what no later step reads; what a
+    returned DataFrame still reads goes with the driver.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -45,6 +51,11 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of so many narrow rows, to be broadcast if they are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, in any case."""
     taken = {c.lower() for c in df.columns}
