@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .columns import narrow
 from .kernels import mix64, segments, slices, word_hashes
 from .scratch import small_batches
 
@@ -120,7 +121,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """``(doc_id, n_terms, fingerprint)`` for each row of ``docs``, repeated rows included.
 
     A null text, and one without words, has the fingerprint null and no terms. A
-    null doc_id keeps its row. Other columns aren't read. Nothing is shuffled:
+    null doc_id keeps its row. No documents: no rows. Texts of one multiset of words
+    have one fingerprint. Other columns aren't read, whatever their names. Nothing is shuffled:
     each fingerprint depends on its own text only, whatever the partitions.
     """
     small_batches(docs.sparkSession)
@@ -137,4 +139,4 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~full, False)), pa.array(found.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), lists], names=["doc_id", "n_terms", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_terms long, fingerprint array<int>")
+    return narrow(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_terms long, fingerprint array<int>")

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .columns import narrow
 from .kernels import slices, word_hashes
 from .scratch import small_batches
 
@@ -175,10 +176,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     """``(doc_id, license, coverage, first_word, last_word)`` for each row of ``docs`` and template in it.
 
     ``coverage`` is the aligned share of the template's words, for the best
-    copy; the first of equal ones. A copy may have up to as many foreign words
+    copy; of equal ones the copy that ends first. A copy may have up to as many foreign words
     inside as it has words. Null, empty and wordless texts hold nothing; a null
-    doc_id keeps its row's matches; repeated rows match again; other columns
-    aren't read. Nothing is shuffled.
+    doc_id keeps its row's matches; repeated rows match again; no documents: no
+    rows. Other columns aren't read, whatever their names. Texts of any length
+    are searched whole. Nothing is shuffled.
     """
     small_batches(docs.sparkSession)
     matcher = Matcher(TEMPLATES if templates is None else templates, threshold)
@@ -191,4 +193,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
                 columns = [pa.array([f[i] for f in found], kind) for i, kind in ((1, pa.string()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), *columns], names=["doc_id", "license", "coverage", "first_word", "last_word"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, license string, coverage double, first_word long, last_word long")
+    return narrow(docs, "doc_id", "text").mapInArrow(run, "doc_id long, license string, coverage double, first_word long, last_word long")

@@ -16,6 +16,7 @@ gives it at least ``CONTEXT - STRIDE`` tokens of context, or all there are.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import narrow
 from .kernels import slices
 from .scratch import Scratch, small_batches
 
@@ -48,6 +50,29 @@ def tokenizer(path: str = VOCABULARY):
     return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+#: White space as the pattern means it, in runs that are too long for its way back over them.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{65536,}")
+
+
+def token_ids(enc, text: str) -> np.ndarray:
+    """The ids of a text of any kind.
+
+    The pattern takes all of a run of white space but its last character, and
+    that one too at the end of the text. It gives up on runs of a million; from
+    65,536 on they are cut here in the same place, so the ids are the same.
+    """
+    parts, at = [], 0
+    for m in _RUN.finditer(text) if len(text) >= 65536 else ():
+        end = m.end() - (m.end() < len(text))
+        if at < m.start():
+            parts.append(enc.encode_to_numpy(text[at : m.start()]))
+        parts.append(np.array(enc._encode_single_piece(text[m.start() : end]), np.uint32))
+        at = end
+    if at < len(text):
+        parts.append(enc.encode_to_numpy(text[at:]))
+    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint32), *parts])
+
+
 class Vocabulary:
     """Classes and input rows of subwords, from their counts over the corpus; a count of 0 is taken as 1."""
 
@@ -241,7 +266,7 @@ def _encode(path: str):
         enc = tokenizer(path)
         for whole in batches:
             for batch in slices(whole, "text", 1 << 21):
-                data = [enc.encode_to_numpy(t).astype(np.uint16).tobytes() if t else b"" for t in batch.column("text").to_pylist()]
+                data = [token_ids(enc, t).astype(np.uint16).tobytes() if t else b"" for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], names=["doc_id", "ids"])
 
     return run
@@ -402,13 +427,14 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     ``logprob`` is the sum of the natural log-probabilities of all tokens. A
     null or empty text has no tokens, a logprob of 0 and a null perplexity. A
-    null doc_id keeps its row, repeated rows have equal scores, other columns
-    aren't read. No documents: no rows.
+    null doc_id keeps its row, repeated rows have equal scores. No documents: no
+    rows. Other columns aren't read, whatever their names. Texts of any length
+    are scored whole.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "lm")
-    tokens = scratch.write(docs.select("doc_id", "text").mapInArrow(_encode(vocabulary), "doc_id long, ids binary"), "tokens")
+    tokens = scratch.write(narrow(docs, "doc_id", "text").mapInArrow(_encode(vocabulary), "doc_id long, ids binary"), "tokens")
     v, flat = train(tokens, scratch, tokenizer(vocabulary).n_vocab)
     shared = spark.sparkContext.broadcast((v, flat))
     return tokens.mapInArrow(_score(shared), "doc_id long, n_tokens long, logprob double, perplexity double")

@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import narrow, place, positional
 from .components import components
 from .kernels import mix64, segments, slices, word_hashes
-from .scratch import BROADCAST_ROWS, Scratch, small_batches
+from .scratch import Scratch, few, small_batches
 
 UNIVERSE = 1 << 20
 ROWS, BANDS = 3, 42
@@ -171,7 +172,7 @@ def _verify(docs: DataFrame, first: DataFrame, pairs: DataFrame, threshold: floa
     roles = member.union(lead)
     # Only ids are broadcast, and only while they are few; beyond that the texts are shuffled by doc_id.
     need = roles.select("node").distinct().join(first, "node").select("doc_id", "node")
-    joined = docs.join(F.broadcast(need) if need.count() <= BROADCAST_ROWS else need, "doc_id").select("node", "text")
+    joined = docs.join(few(need, need.count()), "doc_id").select("node", "text")
     sets = joined.mapInArrow(_sets, "node long, data binary")
     flat = sets.join(roles, "node").select("centre", "salt", "role", "node", "data")
     return flat.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role").mapInArrow(_compare(threshold), "a long, b long, jaccard double")
@@ -196,7 +197,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "minhash")
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    docs = narrow(docs, "doc_id", "text").where("doc_id is not null")
     sig = scratch.write(docs.mapInArrow(_sign, "doc_id long, node long, size int, bands array<long>"), "sig")
     ids = sig.select("doc_id", "node")
     first = ids.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -253,17 +254,19 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     """``docs`` with one document left of each near-duplicate group; all its columns, whatever their names.
 
     The kept one has the least doc_id. Rows with a null doc_id stay, and rows
-    that repeat a kept doc_id stay as one row, any of them.
+    that repeat a kept doc_id stay as one row: the one of the least text, and of
+    the least JSON of the whole row among equal texts. No documents: no rows.
     """
     groups = near_duplicates(docs, threshold)
     scratch = Scratch(docs.sparkSession, "dedup")
     gone = scratch.write(groups.where("not keep").select(F.col("doc_id").alias("gone")), "gone")
-    size = gone.count()
-    left = docs.join(F.broadcast(gone) if size <= BROADCAST_ROWS else gone, docs["doc_id"] == gone["gone"], "left_anti")
-    again = scratch.write(docs.groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("n")).where("n > 1 and again is not null").select("again"), "again")
+    plain = positional(docs)
+    doc_id, text = (F.col(f"c{place(docs, n)}") for n in ("doc_id", "text"))
+    left = plain.join(few(gone, gone.count()), doc_id == F.col("gone"), "left_anti")
+    again = scratch.write(plain.groupBy(doc_id.alias("again")).agg(F.count("*").alias("n")).where("n > 1 and again is not null").select("again"), "again")
     n = again.count()
     if n:
-        few = F.broadcast(again) if n <= BROADCAST_ROWS else again
-        repeated = left.join(few, left["doc_id"] == again["again"], "left_semi").dropDuplicates(["doc_id"])
-        left = left.join(few, left["doc_id"] == again["again"], "left_anti").unionByName(repeated)
-    return left
+        small, row = few(again, n), F.struct(*plain.columns)
+        one = left.join(small, doc_id == F.col("again"), "left_semi").groupBy(doc_id).agg(F.min_by(row, F.struct(text, F.to_json(row))).alias("row"))
+        left = left.join(small, doc_id == F.col("again"), "left_anti").unionByName(one.select("row.*"))
+    return left.toDF(*docs.columns)

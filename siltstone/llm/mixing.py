@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import BROADCAST_ROWS, Scratch, free_name
+from .columns import narrow, place, positional
+from .scratch import BROADCAST_ROWS, Scratch
 
 SEED = "mix-1"
 #: Sources without a weight of their own have this one.
@@ -66,9 +67,9 @@ def cuts(docs: DataFrame, weights: dict[str, float] | None = None, budget: int |
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    narrow = docs.select(F.col("source").cast("string").alias("source"), mix_key(F.col("doc_id"), seed).alias("key"), token_count(F.col("text")).alias("tokens"))
+    rows = narrow(docs, "source", "doc_id", "text").select(F.col("source").cast("string").alias("source"), mix_key(F.col("doc_id"), seed).alias("key"), token_count(F.col("text")).alias("tokens"))
     # Rows of one key stay or go together, so they are one entry.
-    entries = narrow.groupBy("source", "key").agg(F.sum("tokens").alias("tokens"))
+    entries = rows.groupBy("source", "key").agg(F.sum("tokens").alias("tokens"))
     placed = entries.repartitionByRange(spark.sparkContext._jsc.sc().defaultParallelism() if spark.conf.get("spark.sql.shuffle.partitions") is None else int(spark.conf.get("spark.sql.shuffle.partitions")), "source", "key").sortWithinPartitions("source", "key")
     sums = scratch.write(placed.mapInArrow(_running, "source string, key string, run long, part int"), "sums")
 
@@ -110,10 +111,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int |
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    s, e, c = (free_name(docs, x) for x in ("mix_source", "mix_epochs", "mix_cut"))
-    table = scratch.write(cuts(docs, weights, budget, seed).select(F.col("source").alias(s), F.col("epochs").alias(e), F.col("cut").alias(c)), "cuts")
+    table = scratch.write(cuts(docs, weights, budget, seed).select(F.col("source").alias("mix_source"), F.col("epochs").alias("mix_epochs"), F.col("cut").alias("mix_cut")), "cuts")
     size = table.count()
-    joined = docs.join(F.broadcast(table) if size <= BROADCAST_ROWS // 8 else table, docs["source"].cast("string").eqNullSafe(table[s]))
-    times = F.col(e) + F.when(mix_key(docs["doc_id"], seed) <= F.col(c), 1).otherwise(0)
-    k = free_name(joined, "mix_epoch")
-    return joined.withColumn(k, F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<bigint>")))).select(*[joined[x] for x in docs.columns])
+    plain = positional(docs)
+    source, doc_id = (F.col(f"c{place(docs, n)}") for n in ("source", "doc_id"))
+    joined = plain.join(F.broadcast(table) if size <= BROADCAST_ROWS // 8 else table, source.cast("string").eqNullSafe(F.col("mix_source")))
+    times = F.col("mix_epochs") + F.when(mix_key(doc_id, seed) <= F.col("mix_cut"), 1).otherwise(0)
+    epochs = F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<bigint>")))
+    return joined.withColumn("mix_epoch", epochs).select(*plain.columns).toDF(*docs.columns)

@@ -56,14 +56,6 @@ def few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def free_name(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` doesn't have, in any case."""
-    taken = {c.lower() for c in df.columns}
-    while stem.lower() in taken:
-        stem += "_"
-    return stem
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of 1,000 rows unless the session chose otherwise: long texts make large rows."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .columns import narrow
 from .kernels import slices
 from .scratch import small_batches
 
@@ -200,8 +201,9 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     Piece ``i`` stands for the bytes ``bounds[i]`` up to ``bounds[i + 1]`` of the
     text; ``decodes`` tells whether the ids decode to the text itself. A null
     text has null ids and bounds and no tokens; an empty one has no ids and the
-    bounds [0]. A null doc_id keeps its row, repeated rows are rows again, other
-    columns aren't read. Nothing is shuffled.
+    bounds [0]. A null doc_id keeps its row, repeated rows are rows again, no
+    documents: no rows. Other columns aren't read, whatever their names. Texts of
+    any length are encoded whole. Nothing is shuffled.
     """
     small_batches(docs.sparkSession)
 
@@ -222,7 +224,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 same = [t is not None and c.decode(ids) == t for t, (ids, _) in zip(texts, found, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists, pa.array(size), pa.array(same, mask=missing)], names=["doc_id", "ids", "bounds", "n_tokens", "decodes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, bounds array<int>, n_tokens long, decodes boolean")
+    return narrow(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, bounds array<int>, n_tokens long, decodes boolean")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -235,4 +237,4 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             texts = [None if ids is None else c.decode(np.array(ids, np.int64)) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return narrow(encoded, "doc_id", "ids").mapInArrow(run, "doc_id long, text string")

@@ -20,8 +20,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
+from .columns import narrow
 from .kernels import slices
-from .lm_scoring import VOCABULARY, tokenizer
+from .lm_scoring import VOCABULARY, token_ids, tokenizer
 from .scratch import small_batches
 
 LEVEL = 3
@@ -128,7 +129,7 @@ def shards(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     Every row of ``docs`` is one frame, in the order of its partition: a null or
     empty text is a frame of no tokens, repeated rows are frames each, a null
     doc_id is null again in ``doc_ids``. No documents: no shards. Other columns
-    aren't read. Nothing is shuffled, and a task that is run again makes the same
+    aren't read, whatever their names. Nothing is shuffled, and a task that is run again makes the same
     shards of the same names.
     """
     small_batches(docs.sparkSession)
@@ -149,14 +150,14 @@ def shards(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             for batch in slices(whole, "text"):
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     now = now or ShardBuilder(dtype, name)
-                    now.add(doc_id, enc.encode_to_numpy(text) if text else np.zeros(0, np.uint32))
+                    now.add(doc_id, token_ids(enc, text or ""))
                     if now.size >= SHARD_BYTES or len(now.ids) >= SHARD_DOCS:
                         yield close()
                         number, now = number + 1, None
         if now:
             yield close()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return narrow(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def write_shards(table: DataFrame, folder: str) -> None:

@@ -17,6 +17,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import keep_rows, narrow
 from .kernels import segments, slices, word_hashes
 from .scratch import Scratch, small_batches
 
@@ -217,9 +218,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Fact
     small_batches(spark)
     scratch = Scratch(spark, "toxicity")
     # The bounded sample is the only broadcast: `rows` ids and labels.
-    labelled = labels.select("doc_id", (F.col("toxic").cast("int") > 0).cast("int").alias("toxic")).dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    labelled = narrow(labels, "doc_id", "toxic").select("doc_id", (F.col("toxic").cast("int") > 0).cast("int").alias("toxic")).dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     held = (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0).alias("held")
-    sample = scratch.write(docs.select("doc_id", "text").dropna().join(F.broadcast(labelled), "doc_id").select("doc_id", "text", "toxic", held), "sample")
+    sample = scratch.write(narrow(docs, "doc_id", "text").dropna().join(F.broadcast(labelled), "doc_id").select("doc_id", "text", "toxic", held), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, hit = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
@@ -275,7 +276,8 @@ def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """``(doc_id, toxicity, is_toxic)`` for each row of ``docs``, repeated rows included.
 
     A null text, or one without words, scores the bias alone and is never
-    toxic. A null doc_id keeps its row. Other columns are not read.
+    toxic. A score equal to the threshold is toxic. A null doc_id keeps its row.
+    No documents: no rows. Other columns are not read, whatever their names.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 1.3 MB and a few weights a used term, bounded by 2**18 terms
@@ -287,21 +289,16 @@ def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
                 p, toxic = fm.apply(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array(toxic)], names=["doc_id", "toxicity", "is_toxic"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, toxicity double, is_toxic boolean")
+    return narrow(docs, "doc_id", "text").mapInArrow(run, "doc_id long, toxicity double, is_toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """``docs`` without the rows whose text is toxic, with all its columns; no shuffle."""
+    """``docs`` without the rows whose text is toxic, with all its columns, whatever their names; no shuffle.
+
+    Null and wordless texts stay. A score equal to the threshold is toxic. Rows
+    with a null doc_id are judged by their text too, and repeated rows stay or
+    go together. No documents: no rows.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fm = shared.value
-        for whole in batches:
-            plain = whole.rename_columns([f"c{i}" for i in range(whole.num_columns)])
-            for batch in slices(plain, f"c{place}", 1 << 20):
-                _, toxic = fm.apply(batch.column(place))
-                yield batch.filter(pa.array(~toxic)).rename_columns(whole.schema.names)
-
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, lambda text: ~shared.value.apply(text)[1])

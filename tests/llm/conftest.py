@@ -6,9 +6,10 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket string, node double, keep string, score int, language string, total int, ids string, toxicity string, cut string, label string"
+#: Names as operators name their own columns, one with a dot, one with a backtick, and one that differs from ``text`` in case only.
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket string, node double, keep string, score int, language string, total int, ids string, toxicity string, cut string, label string, `meta.url` string, `a``b` int, Text string"
 #: Columns beside those of ``documents``, named as operators name theirs.
-CLASHES = ("x", 1.5, None, 7, "zz", 1, "i", "t", "c", "l")
+CLASHES = ("x", 1.5, None, 7, "zz", 1, "i", "t", "c", "l", "u", 3, "other")
 
 
 def words(seed: int, n: int) -> str:
@@ -33,6 +34,9 @@ ROWS = [
     (11, "!!! ... ???", "en", "a", 11),
     (12, words(4, 30), None, "a", 1),
     (12, words(4, 30), None, "a", 1),  # a repeated row
+    (14, " " * 1_200_000 + "x", "en", "b", 1),
+    (15, "abcdefghij" * 50_000, "en", "b", 1),  # one word
+    (16, "\n" * 1_200_000, "en", "b", 1),
     (13, "東京 naïve İstanbul \U0001f600 \u0000   café", "ja", "c", 20),
 ]
 

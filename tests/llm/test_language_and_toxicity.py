@@ -133,3 +133,19 @@ def test_pairs_of_unrelated_words_take_no_part():
     pairs = toxicity.Pairs(np.bincount(term, minlength=1 << toxicity.BITS).astype(float))
     pairs.add(row, term, toxic)
     assert len(pairs.terms) > 60 and not len(pairs.admitted())
+
+
+def test_junk_is_rejected_and_clean_text_stays(spark, profiles):
+    import random
+
+    rng = random.Random(4)
+    junk = ["".join(rng.choice(kind) if rng.random() > 0.15 else " " for _ in range(n)) for kind in ("abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "0123456789abcdef", "абвгдежзиклмнопрст") for n in (150, 600, 6000)]
+    clean = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("n_chars >= 20").select("text").collect()]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(junk + clean)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in langid.keep_identified(docs, profiles).collect()) == list(range(len(junk), len(junk) + len(clean)))
+
+
+def test_only_the_most_frequent_languages_have_profiles(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, "abc def", lang) for i, lang in enumerate(["a", "a", "b", "b", "c", None])], "doc_id long, text string, lang string")
+    assert langid.train(docs).names == ["a", "b"]
