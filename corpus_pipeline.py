@@ -14,27 +14,27 @@ from siltstone.llm.scratch import Scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of no known language go."""
+    """Documents of no known language go: null and letterless texts too. Repeated rows share their fate; no documents: no rows."""
     return langid.keep_identified(docs, langid.train(docs))
 
 
 def filter_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic documents go."""
+    """Toxic documents go; null and wordless texts stay. Repeated rows share their fate; no documents: no rows."""
     return toxicity.drop_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays, of the least doc_id; rows without a doc_id stay, repeated rows become one."""
     return minhash.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are cut or repeated to their target weights, at the number of tokens that is there."""
+    """Sources are cut or repeated to their target weights, at the number of tokens that is there; a source without tokens goes."""
     return mixing.mix(docs, MIX_WEIGHTS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces and byte spans of every document."""
+    """Pieces and byte spans of every row; null texts have null ones."""
     return sp_codec.encode(docs)
 
 
