@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections import OrderedDict
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,19 +73,20 @@ def execute(index: AdHocIndex, request: SearchRequest, bm25: BM25 | None = None,
     semi-joins. Sorting by score with a limit is a top-k, not a full sort.
     """
     bm25 = bm25 or BM25()
-    rows, joins = index.docs, []
+    rows, kept, joins = index.docs, [], []
     for f in request.filters:
         condition = predicate(index, f)
         if condition is None:
             joins.append(compile_filter(index, f, bm25))
         else:
+            kept.append(condition)
             rows = rows.where(condition)
     needs_fields = bool(request.sort or request.aggregations or request.highlight)
     if isinstance(request.query, MatchAll):  # every row is a hit: nothing to join
         hits = rows.withColumn("score", F.lit(1.0))
     else:
-        # Rows that filters leave out aren't tokenised, if the index can do without them.
-        view = index.among(rows) if rows is not index.docs and isinstance(request.query, Match) else None
+        # Conditions on rows are told in the scan that counts words, if the index can.
+        view = index.among(reduce(lambda a, b: a & b, kept)) if kept and isinstance(request.query, Match) else None
         hits = compile_query(view or index, request.query, bm25)
         if needs_fields:
             hits = rows.join(hits, "document_id")

@@ -6,6 +6,7 @@ for exchanging lists in the compact wire form.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,17 +15,27 @@ from pyspark.sql.functions import pandas_udf
 
 
 def encode_varint(values) -> bytes:
-    """LEB128 of non-negative integers below 2**64."""
-    out = bytearray()
-    for v in values:
-        v = int(v)
-        if v < 0 or v >> 64:
-            raise ValueError("a varint is an unsigned 64-bit integer")
-        while v > 0x7F:
-            out.append(v & 0x7F | 0x80)
-            v >>= 7
-        out.append(v)
-    return bytes(out)
+    """LEB128 of non-negative integers below 2**64, a whole sequence at a time."""
+    if isinstance(values, np.ndarray) and values.dtype.kind == "i":
+        bad = bool((values < 0).any())
+    else:
+        values = list(values)
+        bad = any(int(v) < 0 or int(v) >> 64 for v in values)
+    if bad:
+        raise ValueError("a varint is an unsigned 64-bit integer")
+    left = np.array(values, np.uint64)
+    size = np.ones(len(left), np.int64)
+    for k in range(1, 10):
+        size += left >= np.uint64(1 << 7 * k)
+    out = np.zeros(int(size.sum()), np.uint8)
+    at, more = np.cumsum(size) - size, np.arange(len(left))
+    while len(more):
+        now = left[more]
+        last = now < 128
+        out[at[more]] = (now & np.uint64(127)).astype(np.uint8) | np.where(last, 0, 128).astype(np.uint8)
+        left[more], at[more] = now >> np.uint64(7), at[more] + 1
+        more = more[~last]
+    return out.tobytes()
 
 
 def decode_varint(data: bytes) -> list[int]:
@@ -59,6 +70,11 @@ def varint_size(value: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(value)) / 7)).cast("int")
 
 
+@pandas_udf(T.ArrayType(T.LongType()))
+def running_sum(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else np.cumsum(np.asarray(v, np.int64)))
+
+
 def delta_encode(values: Column) -> Column:
     """The first value, then the gaps between neighbours; empty for empty."""
     return F.transform(values, lambda x, i: F.when(i == 0, x).otherwise(x - F.get(values, i - 1)))
@@ -66,7 +82,7 @@ def delta_encode(values: Column) -> Column:
 
 def delta_decode(gaps: Column) -> Column:
     """Running sums of gaps; undoes ``delta_encode``."""
-    return F.transform(gaps, lambda x, i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0).cast("bigint"), lambda a, g: a + g))
+    return running_sum(gaps)
 
 
 def crc32_hex(data: Column) -> Column:

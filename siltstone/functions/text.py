@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import string
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,9 +13,35 @@ from pyspark.sql import types as T
 _PUNCTUATION = re.compile(f"[{re.escape(string.punctuation)}]")
 
 
+def normalize(text: Column) -> Column:
+    """The tokens of a text with one blank between: lower case, split at ASCII punctuation and Unicode white space; null for null."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[\p{Punct}\p{IsWhite_Space}]+", " "))
+
+
+def split_tokens(normal: Column) -> Column:
+    """The tokens of a normalised text. Split at a single character, which takes no regular expression."""
+    return F.when(normal == "", F.array().cast("array<string>")).otherwise(F.split(normal, " "))
+
+
 def tokenize(text: Column) -> Column:
-    """Tokens of a text: lower case, ASCII punctuation as blanks, split at Unicode white space; null for null."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"\p{Punct}", " "), r"(?U)\s+"), lambda t: t != "")
+    """Tokens of a text; null for null."""
+    return split_tokens(normalize(text))
+
+
+def token_count(normal: Column) -> Column:
+    """How many tokens a normalised text has."""
+    return F.when(normal == "", 0).otherwise(F.octet_length(normal) - F.octet_length(F.replace(normal, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
+def spaced(normal: Column) -> Column:
+    """A normalised text with blanks of its own on either side of each token."""
+    return F.concat(F.lit(" "), F.replace(normal, F.lit(" "), F.lit("  ")), F.lit(" "))
+
+
+def occurrences(spaced_text: Column, token: str) -> Column:
+    """How often a token is in a ``spaced`` text, by byte searches alone."""
+    left = F.octet_length(F.replace(spaced_text, F.lit(f" {token} "), F.lit("")))
+    return ((F.octet_length(spaced_text) - left) / (len(token.encode()) + 2)).cast("long")
 
 
 def query_tokens(text: str) -> list[str]:
@@ -64,13 +91,13 @@ def highlight(text: Column, tokens: list[str], before: str = "<em>", after: str
     """
     if not tokens:
         return text
-    wanted = F.array(*[F.lit(t) for t in dict.fromkeys(tokens)])
-    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    marked = F.transform(
-        words,
-        lambda w: F.when(F.array_contains(wanted, F.regexp_replace(F.lower(w), r"^\p{Punct}+|\p{Punct}+$", "")), F.concat(F.lit(before), w, F.lit(after))).otherwise(w),
-    )
-    return F.when(F.size(words) == 0, text).otherwise(F.array_join(marked, " "))
+    wanted = [F.lit(t) for t in dict.fromkeys(tokens)]
+    plain = F.trim(F.regexp_replace(text, r"\p{IsWhite_Space}+", " "))
+    core = lambda w: F.btrim(F.lower(w), F.lit(string.punctuation))
+    marked = F.transform(F.split(plain, " "), lambda w: F.when(core(w).isin(*wanted), F.concat(F.lit(before), w, F.lit(after))).otherwise(w))
+    # Texts without any of the tokens need no look at their words.
+    held = reduce(lambda a, b: a | b, [F.contains(F.lower(plain), w) for w in wanted])
+    return F.when(plain == "", text).when(~held, plain).otherwise(F.array_join(marked, " "))
 
 
 def highlight_fields(fields: list[str], tokens: list[str]) -> Column:

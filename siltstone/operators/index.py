@@ -1,32 +1,69 @@
 """Inverted indexes: an ad-hoc one over a table, and a stored one.
 
-Both give the same three things: matches of a few terms with their BM25 parts,
-postings with positions, and the dictionary. The ad-hoc index tokenises in the
-scan; the stored one reads only the term buckets that a query names.
+Both give the same things: counts of a few terms in each document with their
+statistics, rows of the terms that meet a condition, positions of a phrase's
+words, postings and the dictionary. The ad-hoc index normalises each text once
+and searches bytes; the stored one reads only the term buckets that a query names.
 """
 
 from __future__ import annotations
 
-from functools import cached_property
+from collections.abc import Callable, Iterator
+from functools import cached_property, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions import extract_text, tokenize
+from siltstone.functions import extract_text, normalize, occurrences, spaced, split_tokens, token_count
 from siltstone.sources.scratch import work_folder
 
-#: Term buckets of a stored index; a query reads those of its own terms.
-BUCKETS = 64
+#: Term buckets of a stored index: one for so many tokens, within these bounds; a query reads those of its own terms.
+BUCKET_TOKENS, LEAST_BUCKETS, MOST_BUCKETS = 1 << 25, 16, 1 << 15
+#: Documents of a slice of a bucket, which is a file: a frequent term's postings are many files.
+SLICE_TOKENS = 1 << 30
+#: Tokens that are grouped at a time.
+BLOCK = 1 << 20
+
+POSTINGS = "term string, document_id string, tf long, dl long, positions array<int>"
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of whole documents; all tokens of a document are in its row, so nothing has to be shuffled to group them."""
+    for whole in batches:
+        column = whole.column("toks")
+        size = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy()
+        end = np.cumsum(size, dtype=np.int64)
+        at = 0
+        while at < whole.num_rows:
+            stop = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + BLOCK, "right")))
+            part, n = whole.slice(at, stop - at), size[at:stop].astype(np.int64)
+            at = stop
+            coded = part.column("toks").flatten().dictionary_encode()
+            if not len(coded):
+                continue
+            row = np.repeat(np.arange(len(n)), n)
+            key = row * len(coded.dictionary) + coded.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            position = (order - (np.cumsum(n) - n)[row[order]]).astype(np.int32)
+            owner, term = np.divmod(key[start], len(coded.dictionary))
+            ends = np.append(start, len(key))
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary.take(pa.array(term)), part.column("document_id").take(pa.array(owner)), pa.array(np.diff(ends)), pa.array(n[owner]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(position))],
+                names=["term", "document_id", "tf", "dl", "positions"],
+            )
 
 
 def postings(tokens: DataFrame) -> DataFrame:
-    """``(term, document_id, tf, dl, positions)`` from ``(document_id, toks)``.
+    """``(term, document_id, tf, dl, positions)`` from ``(document_id, toks)``, one row a term of each document; no shuffle.
 
-    One exploded row a token and one shuffle by (term, document); positions are
-    token ordinals in the text.
+    Positions are token ordinals in the text. Rows that share a document_id have postings each.
     """
-    rows = tokens.select("document_id", F.size("toks").cast("long").alias("dl"), F.posexplode("toks").alias("pos", "term"))
-    return rows.groupBy("term", "document_id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).select("term", "document_id", "tf", "dl", "positions")
+    return tokens.select("document_id", "toks").mapInArrow(_grouped, POSTINGS)
 
 
 def compact_ids(ids: DataFrame) -> DataFrame:
@@ -50,77 +87,101 @@ class AdHocIndex:
     """An index of the rows of a table, made as they are scanned.
 
     ``docs`` has ``document_id`` and the fields; ``fields`` limits those whose
-    text is searched. ``rows`` are the documents that may be hits, all by
-    default; statistics are of ``docs`` whatever they are.
+    text is searched. ``only_if`` is a condition on the documents that may be
+    hits, all by default; statistics are of ``docs`` whatever it is.
     """
 
-    def __init__(self, docs: DataFrame, fields: list[str] | None = None, rows: DataFrame | None = None):
-        self.docs = docs
-        self.rows = docs if rows is None else rows
+    def __init__(self, docs: DataFrame, fields: list[str] | None = None, only_if: Column | None = None):
+        self.docs, self.only_if = docs, only_if
         self.fields = [f for f in docs.columns if f != "document_id"] if fields is None else fields
 
     def text(self) -> Column:
         return extract_text(self.docs.schema, self.fields)
 
+    def _normal(self, *more: Column) -> DataFrame:
+        """``(document_id, normal, ...)``: by a generator, so that what stands above it doesn't normalise again."""
+        made = F.struct(normalize(self.text()).alias("normal"), *more)
+        return self.docs.select("document_id", F.inline(F.array(made)))
+
     @cached_property
     def tokens(self) -> DataFrame:
-        return self.docs.select("document_id", tokenize(self.text()).alias("toks"))
+        return self._normal().select("document_id", split_tokens(F.col("normal")).alias("toks"))
 
-    def among(self, rows: DataFrame) -> AdHocIndex | None:
-        """The index with only some rows of ``docs`` as possible hits, if it can leave out the others before it scores."""
-        return AdHocIndex(self.docs, self.fields, rows)
+    def among(self, condition: Column) -> AdHocIndex | None:
+        """The index with only some documents as possible hits, if it can tell them as it scans."""
+        return AdHocIndex(self.docs, self.fields, condition if self.only_if is None else self.only_if & condition)
 
     def only(self, field: str) -> AdHocIndex:
         """The index of one field, with statistics of its own."""
         return AdHocIndex(self.docs, [field])
 
-    def frequencies(self, terms: list[str], rows: DataFrame | None = None) -> DataFrame:
-        """``(document_id, dl, tf_0, tf_1, ...)`` of every possible hit, one pass without a shuffle."""
-        count = lambda t: F.size(F.filter("toks", lambda x: x == F.lit(t))).cast("long")
-        made = F.struct(F.size("toks").cast("long").alias("dl"), *[count(t).alias(f"tf_{i}") for i, t in enumerate(terms)])
-        # A generator, so that conditions on counts don't move below it, where each would tokenise again.
-        tokens = (self.rows if rows is None else rows).select("document_id", tokenize(self.text()).alias("toks"))
-        return tokens.select("document_id", F.inline(F.array(made)))
+    def counted(self, terms: list[str]) -> tuple[DataFrame, DataFrame]:
+        """``(document_id, dl, hit, tf_0, tf_1, ...)`` of the documents, and one row ``(n, avgdl, df_0, df_1, ...)``.
 
-    def statistics(self, terms: list[str]) -> DataFrame:
-        """One row: ``n, avgdl, df_0, df_1, ...`` over the whole collection, whatever is filtered later."""
+        One scan for both: its narrow rows go through an exchange that both
+        read. ``hit`` is whether a document may be a hit.
+        """
+        allowed = F.lit(True) if self.only_if is None else F.coalesce(self.only_if, F.lit(False))
+        rows = self._normal(allowed.alias("hit")).select("document_id", "hit", "normal", F.inline(F.array(F.struct(spaced(F.col("normal")).alias("text")))))
+        rows = rows.select("document_id", token_count(F.col("normal")).alias("dl"), "hit", *[occurrences(F.col("text"), t).alias(f"tf_{i}") for i, t in enumerate(terms)])
+        rows = rows.repartition("document_id")
         dfs = [F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))]
-        return self.frequencies(terms, self.docs).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *dfs)
+        # The statistics read every column, so that neither side's exchange is narrower than the other's.
+        n = (F.count_if("hit") + F.count_if(~F.col("hit"))).alias("n")
+        return rows, rows.agg(n, F.avg("dl").alias("avgdl"), *dfs)
 
     @cached_property
     def postings(self) -> DataFrame:
         return postings(self.tokens)
 
-    def term_postings(self, terms: list[str]) -> DataFrame:
-        """Postings of some terms; tokens of others are dropped before the shuffle."""
-        wanted = [F.lit(t) for t in terms]
-        rows = self.tokens.where(F.arrays_overlap("toks", F.array(*wanted))).select("document_id", F.size("toks").cast("long").alias("dl"), F.posexplode("toks").alias("pos", "term")).where(F.col("term").isin(*terms))
-        return rows.groupBy("term", "document_id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).select("term", "document_id", "tf", "dl", "positions")
+    def matching(self, condition: Callable[[Column], Column], held: Column | None = None) -> DataFrame:
+        """``(document_id, dl, term, tf, df)`` of the terms that meet a condition, however many they are.
+
+        ``held`` is a condition on normalised texts that any such document meets.
+        """
+        rows = self._normal()
+        rows = rows if held is None else rows.where(held)
+        rows = rows.select("document_id", token_count(F.col("normal")).alias("dl"), F.explode(split_tokens(F.col("normal"))).alias("term")).where(condition(F.col("term")))
+        found = rows.groupBy("document_id", "dl", "term").agg(F.count("*").alias("tf"))
+        return found.join(found.groupBy("term").agg(F.count("*").alias("df")), "term")
+
+    def phrase(self, terms: list[str]) -> DataFrame:
+        """``(document_id, at_0, at_1, ...)``: the positions of each term in the documents that hold all; no shuffle."""
+        rows = self._normal().where(reduce(lambda a, b: a & b, [F.contains("normal", F.lit(t)) for t in terms]))
+        rows = rows.select("document_id", F.inline(F.array(F.struct(split_tokens(F.col("normal")).alias("toks")))))
+        at = lambda t: F.filter(F.sequence(F.lit(0), F.size("toks") - 1), lambda i: F.get(F.col("toks"), i) == F.lit(t))
+        rows = rows.where(F.size("toks") > 0).select("document_id", F.inline(F.array(F.struct(*[at(t).alias(f"at_{i}") for i, t in enumerate(terms)]))))
+        return rows.where(reduce(lambda a, b: a & b, [F.size(f"at_{i}") > 0 for i in range(len(terms))]))
 
     @cached_property
     def dictionary(self) -> DataFrame:
         """``(term, df, tf)``: documents and occurrences of each term."""
-        rows = self.tokens.select("document_id", F.explode("toks").alias("term"))
-        per = rows.groupBy("term", "document_id").agg(F.count("*").alias("tf"))
-        return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+        return self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
     @cached_property
     def collection(self) -> DataFrame:
         """One row ``(n, total_length, avgdl)``."""
-        size = F.size("toks").cast("long")
-        return self.tokens.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("total_length"), F.avg(size).alias("avgdl"))
+        dl = self._normal().select(token_count(F.col("normal")).alias("dl"))
+        return dl.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_length"), F.avg("dl").alias("avgdl"))
+
+    def save(self, path: str, buckets: int | None = None) -> StoredIndex:
+        """Write the documents, postings in term buckets, and the statistics that they imply.
 
-    def save(self, path: str, buckets: int = BUCKETS) -> StoredIndex:
-        """Write postings in term buckets, sorted by term, and the statistics that they imply."""
+        The postings are shuffled once, into files of a bucket and a slice of the
+        documents, sorted by term. The number of buckets follows the collection's size.
+        """
         spark = self.docs.sparkSession
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         made = AdHocIndex(spark.read.schema(self.docs.schema).parquet(f"{path}/docs"), self.fields)
-        bucketed = made.postings.withColumn("bucket", _bucket(F.col("term"), buckets))
-        # By ranges of terms and documents, so that a frequent term's postings are many tasks and files, each with narrow statistics.
-        bucketed.repartitionByRange("bucket", "term", "document_id").sortWithinPartitions("bucket", "term", "document_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        stored = StoredIndex(spark, path, self.fields, buckets)
-        stored.postings.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
         made.collection.coalesce(1).write.mode("overwrite").parquet(f"{path}/collection")
+        total = spark.read.parquet(f"{path}/collection").first()["total_length"]
+        buckets = buckets or min(MOST_BUCKETS, max(LEAST_BUCKETS, total // BUCKET_TOKENS))
+        piece = F.pmod(F.xxhash64("document_id"), F.lit(1 + total // (SLICE_TOKENS * buckets)))
+        rows = made.postings.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket", piece)
+        rows.sortWithinPartitions("bucket", "term", "document_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        stored = StoredIndex(spark, path, self.fields, buckets)
+        counts = stored.postings.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+        counts.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
         return stored
 
 
@@ -128,44 +189,63 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def term_buckets(terms: list[str], buckets: int) -> list[int]:
+    """The buckets of some terms, without a job."""
+    from siltstone.operators.hashing import spark_xxhash64
+
+    return sorted({spark_xxhash64(t.encode()) % buckets for t in terms})
+
+
+def count_terms(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """``(document_id, dl, hit, tf_0, tf_1, ...)`` from postings of the terms, a row a document that holds one."""
+    columns = [F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"tf_{i}") for i, t in enumerate(terms)]
+    return rows.groupBy("document_id", "dl").agg(*columns).withColumn("hit", F.lit(True))
+
+
+def phrase_positions(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """``(document_id, at_0, ...)`` from postings of the terms, of documents that hold all."""
+    at = [F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(f"at_{i}") for i, t in enumerate(terms)]
+    return rows.groupBy("document_id").agg(*at).dropna()
+
+
 class StoredIndex(AdHocIndex):
     """An index that ``save`` wrote; queries read only the buckets of their terms."""
 
-    def __init__(self, spark: SparkSession, path: str, fields: list[str] | None = None, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, fields: list[str] | None = None, buckets: int = LEAST_BUCKETS):
         super().__init__(spark.read.parquet(f"{path}/docs"), fields)
         self.path, self.buckets, self.spark = path, buckets, spark
 
     @cached_property
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
+        return self.spark.read.schema(f"{POSTINGS}, bucket int").parquet(f"{self.path}/postings")
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        return self.spark.read.schema("term string, df long, tf long, bucket int").parquet(f"{self.path}/terms")
 
     @cached_property
     def dictionary(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/terms").select("term", "df", "tf")
+        return self.terms.select("term", "df", "tf")
 
     @cached_property
     def collection(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/collection")
+        return self.spark.read.schema("n long, total_length long, avgdl double").parquet(f"{self.path}/collection")
 
     def _own(self, table: DataFrame, terms: list[str]) -> DataFrame:
-        from siltstone.operators.hashing import spark_xxhash64
-
-        buckets = sorted({spark_xxhash64(t.encode()) % self.buckets for t in terms})
-        return table.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms))
+        return table.where(F.col("bucket").isin(*term_buckets(terms, self.buckets)) & F.col("term").isin(*terms))
 
-    def term_postings(self, terms: list[str]) -> DataFrame:
-        return self._own(self.postings, terms).select("term", "document_id", "tf", "dl", "positions")
+    def among(self, condition: Column) -> None:
+        """Postings don't have the fields that choose documents; those are joined."""
 
-    def among(self, rows: DataFrame) -> None:
-        """Postings don't have the fields that choose rows; those are joined."""
+    def counted(self, terms: list[str]) -> tuple[DataFrame, DataFrame]:
+        found = self._own(self.terms, terms)
+        dfs = found.agg(*[F.coalesce(F.sum(F.when(F.col("term") == t, F.col("df"))), F.lit(0)).alias(f"df_{i}") for i, t in enumerate(terms)])
+        return count_terms(self._own(self.postings, terms), terms), self.collection.select("n", "avgdl").crossJoin(dfs)  # one row each
 
-    def frequencies(self, terms: list[str], rows: DataFrame | None = None) -> DataFrame:
-        """Of the documents that hold a term; the others have no part in a score."""
-        rows = self._own(self.postings, terms)
-        columns = [F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"tf_{i}") for i, t in enumerate(terms)]
-        return rows.groupBy("document_id", "dl").agg(*columns)
+    def matching(self, condition: Callable[[Column], Column], held: Column | None = None) -> DataFrame:
+        """The dictionary is searched; the buckets of what is found are read."""
+        found = self.terms.where(condition(F.col("term"))).select("bucket", "term", "df")
+        return self.postings.join(found, ["bucket", "term"]).select("document_id", "dl", "term", "tf", "df")
 
-    def statistics(self, terms: list[str]) -> DataFrame:
-        found = self._own(self.spark.read.parquet(f"{self.path}/terms"), terms)
-        dfs = found.agg(*[F.coalesce(F.sum(F.when(F.col("term") == t, F.col("df"))), F.lit(0)).alias(f"df_{i}") for i, t in enumerate(terms)])
-        return self.collection.select("n", "avgdl").crossJoin(dfs)
+    def phrase(self, terms: list[str]) -> DataFrame:
+        return phrase_positions(self._own(self.postings, terms), terms)

@@ -40,15 +40,16 @@ def evaluate(index: AdHocIndex, clauses: list[Words], bm25: BM25) -> tuple[DataF
     """Rows of the documents that hold any of the words, and each clause's (match, score) on them.
 
     All clauses share one scan and one row of statistics, which is broadcast.
-    Only positive scores are matches.
+    Only positive scores are matches. A match reads the statistics too, so that
+    no part of it moves below the exchange that scores and statistics share.
     """
     terms = list(dict.fromkeys(t for c in clauses for t in c.terms))
     if not terms:
         none = index.docs.select("document_id").where(F.lit(False))
         return none, [(F.lit(False), F.lit(0.0)) for _ in clauses]
-    rows = index.frequencies(terms)
+    rows, statistics = index.counted(terms)
     hit = {t: F.col(f"tf_{i}") > 0 for i, t in enumerate(terms)}
-    rows = rows.where(reduce(lambda a, b: a | b, hit.values())).crossJoin(F.broadcast(index.statistics(terms)))
+    rows = rows.crossJoin(F.broadcast(statistics))  # one row
     part = {t: bm25.idf(F.col("n"), F.col(f"df_{i}")) * bm25.weight(F.col(f"tf_{i}"), F.col("dl"), F.col("avgdl")) for i, t in enumerate(terms)}
     found = []
     for c in clauses:
@@ -58,7 +59,7 @@ def evaluate(index: AdHocIndex, clauses: list[Words], bm25: BM25) -> tuple[DataF
             continue
         score = reduce(lambda a, b: a + b, [part[t] * F.lit(c.boost * boosts.get(t, 1.0)) for t in own])
         match = reduce(lambda a, b: a & b if c.require_all else a | b, [hit[t] for t in own])  # noqa: B023
-        found.append((match & (score > 0), score))
+        found.append((F.coalesce(F.when(match & F.col("hit"), score), F.lit(0.0)) > 0, score))
     return rows, found
 
 
@@ -73,9 +74,10 @@ def explain(index: AdHocIndex, terms: list[str], bm25: BM25) -> DataFrame:
     terms = list(dict.fromkeys(terms))
     if not terms:
         return index.docs.sparkSession.createDataFrame([], "document_id string, term string, tf long, idf double, contribution double")
-    rows = index.frequencies(terms).crossJoin(F.broadcast(index.statistics(terms)))
+    rows, statistics = index.counted(terms)
+    rows = rows.crossJoin(F.broadcast(statistics))  # one row
     each = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"tf_{i}").alias("tf"), bm25.idf(F.col("n"), F.col(f"df_{i}")).alias("idf"), (bm25.idf(F.col("n"), F.col(f"df_{i}")) * bm25.weight(F.col(f"tf_{i}"), F.col("dl"), F.col("avgdl"))).alias("contribution")) for i, t in enumerate(terms)])
-    return rows.select("document_id", F.explode(F.filter(each, lambda s: s["tf"] > 0)).alias("e")).select("document_id", "e.*")
+    return rows.select("document_id", F.explode(F.filter(each, lambda s: (s["tf"] > 0) & F.col("hit"))).alias("e")).select("document_id", "e.*")
 
 
 def ranked(hits: DataFrame) -> DataFrame:
@@ -116,9 +118,12 @@ def knn(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine",
     return ranked(vectors.select(F.col(id_column).cast("string").alias("document_id"), score.alias("score")).where("score is not null")).limit(k)
 
 
-def reciprocal_rank_fusion(rankings: list[DataFrame], weights: list[float] | None = None, k: int = 60) -> DataFrame:
-    """``(document_id, score)``: the sum over rankings of weight / (k + rank)."""
-    # The ranks need a total order; each ranking is a top list, so one partition holds it.
-    order = Window.orderBy(F.desc("score"), F.asc("document_id"))
-    parts = [r.withColumn("rank", F.row_number().over(order)).select("document_id", (F.lit(w) / (k + F.col("rank"))).alias("score")) for r, w in zip(rankings, weights or [1.0] * len(rankings), strict=True)]
+def reciprocal_rank_fusion(rankings: list[DataFrame], weights: list[float] | None = None, k: int = 60, window: int = 1000) -> DataFrame:
+    """``(document_id, score)``: the sum over rankings of weight / (k + rank), each ranking down to rank ``window``."""
+    order = Window.partitionBy("list").orderBy(F.desc("score"), F.asc("document_id"))
+    parts = []
+    for n, (r, w) in enumerate(zip(rankings, weights or [1.0] * len(rankings), strict=True)):
+        # Only a top list is ranked in one task, whatever is given.
+        top = ranked(r).limit(window).withColumn("list", F.lit(n)).withColumn("rank", F.row_number().over(order))
+        parts.append(top.select("document_id", (F.lit(w) / (k + F.col("rank"))).alias("score")))
     return reduce(lambda a, b: a.unionByName(b), parts).groupBy("document_id").agg(F.sum("score").alias("score"))

@@ -7,6 +7,7 @@ from the whole collection, so filters never change a score.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,8 @@ from siltstone.operators.index import AdHocIndex
 from siltstone.operators.ranking import BM25, Words, combine, evaluate, scored
 from siltstone.plans.dsl import Bool, ConstantScore, DisMax, Exists, Fuzzy, Match, MatchAll, MatchNone, MultiMatch, Phrase, Prefix, Query, Range, Term, Terms
 
-#: Dictionary terms that a fuzzy or prefix query is expanded to in one plan; more are joined instead.
-INLINE_TERMS = 64
+#: A condition on terms.
+Condition = Callable[[Column], Column]
 
 
 def predicate(index: AdHocIndex, q: Query) -> Column | None:
@@ -43,41 +44,53 @@ def predicate(index: AdHocIndex, q: Query) -> Column | None:
     return None
 
 
-def _holds(index: AdHocIndex, field: str, terms: list[str]) -> DataFrame:
-    """Ids of documents with one of the terms in a string field."""
+def _holds(index: AdHocIndex, field: str, terms: list[str]) -> Column:
+    """Whether a string field has one of the terms."""
     wanted = F.array(*[F.lit(t) for t in terms])
-    return index.docs.where(F.arrays_overlap(tokenize(P.string_value(index.docs.schema, field)), wanted)).select("document_id")
+    return F.arrays_overlap(tokenize(P.string_value(index.docs.schema, field)), wanted)
+
+
+def near_tokens(q: Fuzzy) -> Condition:
+    """Whether a term is near a token of the query."""
+
+    def near(term: Column) -> Column:
+        out = []
+        for t in dict.fromkeys(query_tokens(q.value)):
+            size = len(t.encode())
+            start = t.encode()[: q.prefix_length].decode("utf-8", "ignore")
+            # Lengths that differ by more than the distance can't be near: a cheap test before the costly one.
+            out.append(F.octet_length(term).between(size - q.max_edit_distance, size + q.max_edit_distance) & term.startswith(start) & (levenshtein_bytes(term, F.lit(t)) <= q.max_edit_distance))
+        return reduce(lambda a, b: a | b, out, F.lit(False))
+
+    return near
+
+
+def prefixed(q: Prefix) -> Condition:
+    """Whether a term begins with the query's first token; nothing does with an empty one."""
+    tokens = query_tokens(q.value)
+    return lambda term: term.startswith(tokens[0]) if tokens else F.lit(False)
 
 
 def expand_fuzzy(index: AdHocIndex, q: Fuzzy) -> DataFrame:
     """Distinct dictionary terms near a token of the query."""
-    near = []
-    for t in dict.fromkeys(query_tokens(q.value)):
-        size = len(t.encode())
-        start = t.encode()[: q.prefix_length].decode("utf-8", "ignore")
-        # Lengths that differ by more than the distance can't be near: a cheap test before the costly one.
-        near.append(F.octet_length("term").between(size - q.max_edit_distance, size + q.max_edit_distance) & F.col("term").startswith(start) & (levenshtein_bytes(F.col("term"), F.lit(t)) <= q.max_edit_distance))
-    return index.dictionary.select("term").where(reduce(lambda a, b: a | b, near, F.lit(False)))
+    return index.dictionary.select("term").where(near_tokens(q)(F.col("term")))
 
 
 def expand_prefix(index: AdHocIndex, q: Prefix) -> DataFrame:
-    """Dictionary terms that begin with the query's first token; none for an empty one."""
-    tokens = query_tokens(q.value)
-    return index.dictionary.select("term").where(F.col("term").startswith(tokens[0]) if tokens else F.lit(False))
+    """Dictionary terms that begin with the query's first token."""
+    return index.dictionary.select("term").where(prefixed(q)(F.col("term")))
 
 
-def _expanded(index: AdHocIndex, found: DataFrame, bm25: BM25, field: str) -> DataFrame:
-    """Match over expanded terms, by a join with the postings, however many they are."""
-    few = [r["term"] for r in found.limit(INLINE_TERMS + 1).collect()]
-    if len(few) <= INLINE_TERMS:
-        hits = scored(index, sorted(few), bm25)
-        return hits.join(_holds(index, field, few), "document_id", "left_semi") if field and few else hits
-    terms = index.dictionary.join(found, "term", "left_semi").select("term", "df")
-    rows = index.postings.select("term", "document_id", "tf", "dl").join(terms, "term").crossJoin(F.broadcast(index.collection))
+def _expanded(index: AdHocIndex, wanted: Condition, held: Column | None, bm25: BM25, field: str) -> DataFrame:
+    """Match over the terms that meet a condition, one plan however many they are.
+
+    As in a match, scores are of all text, and ``field`` says in which string field one of the terms must be.
+    """
+    rows = index.matching(wanted, held).crossJoin(F.broadcast(index.collection))  # one row
     part = bm25.idf(F.col("n"), F.col("df")) * bm25.weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
     hits = rows.groupBy("document_id").agg(F.sum(part).alias("score"))
     if field:
-        own = index.only(field).postings.join(found, "term", "left_semi").select("document_id").distinct()
+        own = index.docs.where(F.exists(tokenize(P.string_value(index.docs.schema, field)), wanted)).select("document_id")
         hits = hits.join(own, "document_id", "left_semi")
     return hits
 
@@ -91,20 +104,19 @@ def phrase_documents(index: AdHocIndex, q: Phrase) -> DataFrame:
     """Ids of documents with the tokens in order, at most ``slop`` others between neighbours.
 
     Positions of the first token are carried along the chain: from each, the
-    next token's positions within reach. No join: the postings of a document
-    meet in one group.
+    next token's positions within reach. No join: all positions of a document
+    are in one row.
     """
     tokens = query_tokens(q.value)
     where = index.only(q.field) if q.field else index
     if not tokens:
         return index.docs.select("document_id").where(F.lit(False))
     distinct = list(dict.fromkeys(tokens))
-    rows = where.term_postings(distinct).groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
-    rows = rows.where(F.size("at") == len(distinct))
-    reached = F.element_at("at", F.lit(tokens[0]))
+    at = {t: F.col(f"at_{i}") for i, t in enumerate(distinct)}
+    reached = at[tokens[0]]
     for t in tokens[1:]:
-        reached = _within(F.element_at("at", F.lit(t)), reached, q.slop)
-    return rows.where(F.size(reached) > 0).select("document_id")
+        reached = _within(at[t], reached, q.slop)
+    return where.phrase(distinct).where(F.size(reached) > 0).select("document_id")
 
 
 def compile_query(index: AdHocIndex, q: Query, bm25: BM25 | None = None) -> DataFrame:
@@ -113,8 +125,10 @@ def compile_query(index: AdHocIndex, q: Query, bm25: BM25 | None = None) -> Data
     again = lambda s: compile_query(index, s, bm25)
     if isinstance(q, Match):
         terms = list(dict.fromkeys(query_tokens(q.value)))
-        hits = scored(index, terms, bm25, q.term_boosts, q.boost, q.operator == "and")
-        return hits.join(_holds(index, q.field, terms), "document_id", "left_semi") if q.field and terms else hits
+        held = _holds(index, q.field, terms) if q.field and terms else None
+        view = index if held is None else index.among(held)
+        hits = scored(view or index, terms, bm25, q.term_boosts, q.boost, q.operator == "and")
+        return hits if view else hits.join(index.docs.where(held).select("document_id"), "document_id", "left_semi")
     if isinstance(q, MultiMatch):
         terms = query_tokens(q.value)
         parts = [scored(index.only(f), terms, bm25, boost=b) for f, b in q.fields]
@@ -123,9 +137,10 @@ def compile_query(index: AdHocIndex, q: Query, bm25: BM25 | None = None) -> Data
         found = phrase_documents(index, q)
         return scored(index, query_tokens(q.value), bm25, require_all=True).join(found, "document_id", "left_semi")
     if isinstance(q, Fuzzy):
-        return _expanded(index, expand_fuzzy(index, q), bm25, q.field)
+        return _expanded(index, near_tokens(q), None, bm25, q.field)
     if isinstance(q, Prefix):
-        return _expanded(index, expand_prefix(index, q), bm25, q.field)
+        start = query_tokens(q.value)[:1]
+        return _expanded(index, prefixed(q), F.contains("normal", F.lit(start[0])) if start else F.lit(False), bm25, q.field)
     if isinstance(q, ConstantScore):
         return compile_filter(index, q.query, bm25).withColumn("score", F.lit(float(q.score)))
     if isinstance(q, DisMax):
@@ -172,7 +187,7 @@ def _one_scan(index: AdHocIndex, q: Bool, banned: list[Query], required: int, bm
 
 def _bool(index: AdHocIndex, q: Bool, bm25: BM25) -> DataFrame:
     """Scores of must and should add up; what is a condition on rows stays one and isn't joined."""
-    rows = index.docs
+    rows, kept = index.docs, []
     joins = []
     required = q.minimum_should_match if (q.must or q.filter) else max(1, q.minimum_should_match) if q.should else 0
     together = all(map(_plain, q.must + q.should)) and bool(q.must or required)
@@ -182,16 +197,15 @@ def _bool(index: AdHocIndex, q: Bool, bm25: BM25) -> DataFrame:
             condition = predicate(index, p)
             if condition is None:
                 joins.append((compile_filter(index, p, bm25), kind))
-            elif kind == "left_semi":
-                rows = rows.where(condition)
             else:
-                rows = rows.where(~F.coalesce(condition, F.lit(False)))
+                kept.append(condition if kind == "left_semi" else ~F.coalesce(condition, F.lit(False)))
+                rows = rows.where(kept[-1])
     sides = [] if together else [compile_query(index, p, bm25).withColumn("m", F.lit(1)).withColumn("s", F.lit(0)) for p in q.must]
     sides += [] if together else [compile_query(index, p, bm25).withColumn("m", F.lit(0)).withColumn("s", F.lit(1)) for p in q.should]
     if not sides and not together:
         out = rows.select("document_id", F.lit(0.0).alias("score"))
     elif together:
-        view = index if rows is index.docs else index.among(rows)
+        view = index.among(reduce(lambda a, b: a & b, kept)) if kept else index
         out = _one_scan(view or index, q, banned, required, bm25)
         out = out if view else out.join(rows.select("document_id"), "document_id", "left_semi")
     else:

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltstone.functions import codec, crc32_hex, delta_decode, delta_encode, extract_text, highlight, highlight_fields, levenshtein_bytes, query_tokens, tokenize, varint_decode, varint_encode, varint_size
+from siltstone.functions import codec, crc32_hex, delta_decode, delta_encode, extract_text, highlight, highlight_fields, levenshtein_bytes, normalize, occurrences, query_tokens, spaced, token_count, tokenize, varint_decode, varint_encode, varint_size
 from siltstone.operators.hashing import spark_xxhash64
 
 TEXTS = ["Hello, World!", "foo_bar-baz's", "  a\tb c\u0085d ", "", None, "ÜBER «quoted» 3.5", "...", "naïve café 東京"]
@@ -22,6 +22,16 @@ def test_tokenize(spark):
         assert t is None or got[i] == query_tokens(t)
 
 
+def test_counts_by_byte_searches(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, "the the The,the  there", "über-über"])], "i int, t string")
+    normal = normalize(F.col("t"))
+    got = df.select(tokenize(F.col("t")).alias("k"), token_count(normal).alias("n"), occurrences(spaced(normal), "the").alias("the"), occurrences(spaced(normal), "über").alias("u")).collect()
+    for r in got:
+        if r["k"] is not None:
+            assert (r["n"], r["the"], r["u"]) == (len(r["k"]), r["k"].count("the"), r["k"].count("über"))
+    assert got[-2]["the"] == 4 and got[-1]["u"] == 2
+
+
 def test_extract_text(spark):
     df = spark.createDataFrame([("a", 3, 799.0, 1.5, True, ["x", "y"], None)], "s string, i int, d double, e double, b boolean, l array<string>, n string")
     assert df.select(extract_text(df.schema).alias("t")).first()["t"] == "a 3 799.0 1.5 true x y"

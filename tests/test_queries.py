@@ -35,6 +35,14 @@ def test_filters_reach_the_scan(spark):
     assert "o_orderpriority" not in plan.split("ReadSchema")[1] and "Exchange" not in plan
 
 
-def test_documents_are_tokenised_once_a_scan(spark):
-    plan = queries.QUERIES["bm25_match_or"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("regexp_replace") == 2  # one for the scores and one for the statistics
+@pytest.mark.parametrize("name", ["bm25_match_or", "explain_terms", "match_field_restricted", "bool_full"])
+def test_scores_and_statistics_share_a_scan(spark, name):
+    df = queries.QUERIES[name](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count("FileScan parquet") == 1
+
+
+def test_no_shuffle_of_tokens(spark):
+    plan = queries.inverted_index_postings(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
