@@ -8,12 +8,12 @@ to whole texts in Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,21 +140,44 @@ class Pairs:
         return self.terms[found]
 
 
+def _learn(parts: Iterable[tuple[pa.Array, np.ndarray, np.ndarray]], used: np.ndarray, seen: np.ndarray, **options) -> FactorizationMachine:
+    """Fit on parts of ``(texts, toxic, held)``, given the informative terms and the training rows of each term.
+
+    Only triples of terms that may take part are kept: those, and the frequent ones.
+    """
+    pairs = Pairs(seen)
+    wanted = used.copy()
+    wanted[pairs.terms] = True
+    labels, out, triples, rows = [], [], [], 0
+    for text, toxic, held in parts:
+        row, term, value, _ = hashed_terms(text, wanted)
+        mine = ~held[row]
+        pairs.add((np.cumsum(~held) - 1)[row[mine]], term[mine], toxic[~held])
+        triples.append(((row + rows).astype(np.int32), term.astype(np.int32), value))
+        labels.append(toxic)
+        out.append(held)
+        rows += len(toxic)
+    y, held = (np.concatenate([np.zeros(0), *x]) for x in (labels, out))
+    if not 0 < y.sum() < len(y):
+        return _prior(y)
+    used = used.copy()
+    used[pairs.admitted()] = True
+    del pairs
+    kept = [used[term] for _, term, _ in triples]
+    row, term, value = (np.concatenate([t[k][m] for t, m in zip(triples, kept, strict=True)]) for k in range(3))
+    del triples
+    return _fit(row, term, value, y.astype(np.float64), held.astype(bool), used, **options)
+
+
 def fit(text: pa.Array, toxic: np.ndarray, seed: int = 5, **options) -> FactorizationMachine:
     """Fit on texts; a fifth of the rows is held out to set the threshold. With one class only, every score is its prior."""
     y = toxic.astype(np.float64)
-    if not 0 < y.sum() < len(y):
-        return _prior(y)
-    row, term, value, _ = hashed_terms(text)
+    row, term, _, _ = hashed_terms(text)
     held = np.random.default_rng(seed).random(len(y)) < 0.2
     mine = ~held[row]
     seen = np.bincount(term[mine], minlength=1 << BITS).astype(float)
     used = informative(seen, np.bincount(term[mine], y[row[mine]], 1 << BITS), int((~held).sum()), y[~held].sum())
-    pairs, place = Pairs(seen), np.cumsum(~held) - 1
-    pairs.add(place[row[mine]], term[mine], y[~held])
-    used[pairs.admitted()] = True
-    kept = used[term]
-    return _fit(row[kept], term[kept], value[kept], y, held, used, **options)
+    return _learn([(text, y, held)], used, seen, **options)
 
 
 def _prior(y: np.ndarray, factors: int = FACTORS) -> FactorizationMachine:
@@ -172,29 +195,35 @@ def _fit(row: np.ndarray, term: np.ndarray, value: np.ndarray, y: np.ndarray, he
     weight = np.where(y > 0, min(MAX_BALANCE, (n - positive) / positive), 1.0)
     train = np.flatnonzero(~held)
     bias, linear, pair = 0.0, np.zeros(size, np.float32), (rng.standard_normal((size, factors)) * 0.01).astype(np.float32)
+    column = np.zeros(size, np.int64)
     sum_b, sum_l, sum_p = 1.0, np.ones(size, np.float32), np.ones((size, factors), np.float32)
     for _ in range(epochs):
         for rows in np.array_split(rng.permutation(train), max(1, len(train) // 64)):
             at = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in rows])
             local = np.repeat(np.arange(len(rows)), bounds[rows + 1] - bounds[rows])
-            t, x = at_term[at], value[at]
-            vx = pair[t] * x[:, None]
-            total = np.stack([np.bincount(local, vx[:, f], len(rows)) for f in range(factors)], axis=1)
-            square = np.bincount(local, (vx**2).sum(axis=1), len(rows))
-            error = (_sigmoid(bias + np.bincount(local, linear[t] * x, len(rows)) + 0.5 * ((total**2).sum(axis=1) - square)) - y[rows]) * weight[rows]
-            sum_b += error.sum() ** 2
-            bias -= rate * error.sum() / np.sqrt(sum_b)
-            e = error[local]
-            unique, back = np.unique(t, return_inverse=True)
-            gl = np.bincount(back, e * x, len(unique)) + 1e-3 * linear[unique]
-            sum_l[unique] += gl**2
-            linear[unique] -= rate * gl / np.sqrt(sum_l[unique])
-            each = (e * x)[:, None] * (total[local] - vx)
-            gp = np.stack([np.bincount(back, each[:, f], len(unique)) for f in range(factors)], axis=1) + 1e-2 * pair[unique]
-            sum_p[unique] += gp**2
-            pair[unique] -= rate * gp / np.sqrt(sum_p[unique])
+            t = at_term[at]
+            here = np.flatnonzero(np.bincount(t, minlength=size))
+            column[here] = np.arange(len(here))
+            x = np.zeros((len(rows), len(here)), np.float32)  # a batch has few rows, and a small part of the terms
+            x[local, column[t]] = value[at]
+            v, x2 = pair[here], x * x
+            total = x @ v
+            score = bias + x @ linear[here] + 0.5 * ((total**2).sum(axis=1) - x2 @ (v**2).sum(axis=1))
+            error = ((_sigmoid(score) - y[rows]) * weight[rows]).astype(np.float32)
+            sum_b += float(error.sum()) ** 2
+            bias -= rate * float(error.sum()) / np.sqrt(sum_b)
+            gl = x.T @ error + np.float32(1e-3) * linear[here]
+            sum_l[here] += gl**2
+            linear[here] -= rate * gl / np.sqrt(sum_l[here])
+            gp = x.T @ (error[:, None] * total) - v * (x2.T @ error)[:, None] + np.float32(1e-2) * v
+            sum_p[here] += gp**2
+            pair[here] -= rate * gp / np.sqrt(sum_p[here])
     model = FactorizationMachine(float(bias), used, place, linear, pair, 0.5)
-    p = model.scores(row, term, value, n)
+    p = np.zeros(n)
+    for lo in range(0, n, 1024):
+        hi = min(n, lo + 1024)
+        own = slice(bounds[lo], bounds[hi])
+        p[lo:hi] = model.scores(row[own] - lo, term[own], value[own], hi - lo)
     order = np.argsort(-p[held], kind="stable")
     ranked, right = p[held][order], np.cumsum(y[held][order])
     threshold = 0.5
@@ -211,8 +240,8 @@ def _fit(row: np.ndarray, term: np.ndarray, value: np.ndarray, y: np.ndarray, he
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> FactorizationMachine:
     """Fit on at most ``rows`` labelled documents, those whose doc_id hashes least; null ids, texts and labels are left out.
 
-    The sample's texts stay in the executors: they count terms there, and only
-    the triples of the informative terms come to the driver.
+    The sample's texts stay in the executors: they count terms there, one task
+    fits, and only the model comes to the driver.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -238,38 +267,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Fact
     seen, hit = np.zeros(1 << BITS), np.zeros(1 << BITS)
     seen[got["term"].to_numpy(np.int64)], hit[got["term"].to_numpy(np.int64)] = got["seen"], got["hit"]
     used = informative(seen, hit, total["n"], total["positive"])
-    frequent = spark.sparkContext.broadcast(seen)
+    shared = spark.sparkContext.broadcast((used, seen))  # a flag and a number for each of 2**BITS terms
 
-    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = Pairs(frequent.value)
-        for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                row, term, _, _ = hashed_terms(batch.column("text"))
-                pairs.add(row, term, batch.column("toxic").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(pairs.admitted())], names=["term"])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (batch for whole in batches for batch in slices(whole, "text", 1 << 20))
+        model = _learn(((b.column("text"), b.column("toxic").to_numpy().astype(float), b.column("held").to_numpy(zero_copy_only=False)) for b in parts), *shared.value)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    # One task, as the table of pairs is one; the sample bounds it at every size.
-    admitted = sample.where("not held").select("text", "toxic").coalesce(1).mapInArrow(together, "term long").toPandas()
-    used[admitted["term"].to_numpy(np.int64)] = True
-    shared = spark.sparkContext.broadcast(used)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                row, term, value, _ = hashed_terms(batch.column("text"), shared.value)
-                ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (term, value)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("held"), *lists], names=["doc_id", "toxic", "held", "term", "value"])
-
-    made = sample.mapInArrow(pick, "doc_id long, toxic int, held boolean, term array<long>, value array<float>").orderBy("doc_id", "term", "value").toArrow().combine_chunks()
+    # One task, as the model is one; the bound on the sample bounds it at every size.
+    ordered = sample.select("doc_id", "text", "toxic", "held").coalesce(1).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    model = pickle.loads(ordered.select("text", "toxic", "held").mapInArrow(learn, "model binary").first()["model"])
     scratch.drop("sample")
-    y = made.column("toxic").to_numpy().astype(np.float64)
-    if not 0 < y.sum() < len(y):
-        return _prior(y)
-    flat = [made.column(c).combine_chunks() for c in ("term", "value")]
-    size = pa.compute.list_value_length(flat[0]).to_numpy()
-    term, value = (c.flatten().to_numpy() for c in flat)
-    return _fit(np.repeat(np.arange(len(y)), size), term, value, y, made.column("held").to_numpy(), used)
+    return model
 
 
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
