@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -15,11 +15,15 @@ from siltstone.operators.aggregates import aggregate
 from siltstone.operators.index import AdHocIndex
 from siltstone.operators.ordering import order, page
 from siltstone.operators.ranking import BM25, explain
+from siltstone.operators.segmented import SegmentedIndex, write_postings
 from siltstone.plans import logical
 from siltstone.plans.compiler import compile_filter, compile_query, predicate
 from siltstone.plans.dsl import Aggregation, Bool, ConstantScore, DisMax, Match, MatchAll, Query, SearchRequest, parse_request
-from siltstone.sources.mapping import Mapping, with_fields
-from siltstone.sources.store import Store
+from siltstone.sources.mapping import Mapping, typed, with_fields
+from siltstone.sources.store import BUCKETS, Store, apply_log
+
+#: Bytes of a change log up to which its ids are broadcast; they are a small part of it.
+BROADCAST_BYTES = 64 << 20
 
 
 @dataclass
@@ -30,9 +34,13 @@ class SearchResponse:
     all_hits: DataFrame
     aggregations: dict[tuple[str, str], DataFrame]
     explanations: DataFrame | None = None
+    counted: int | None = None
 
     def total(self) -> int:
-        return self.all_hits.count()
+        """Hits before paging; counted once."""
+        if self.counted is None:
+            self.counted = self.all_hits.count()
+        return self.counted
 
 
 def fields_of(request: SearchRequest) -> list[str]:
@@ -139,24 +147,50 @@ class ResultCache:
         return len(self._kept)
 
 
+LOG_ROW = "query string, milliseconds double, results long, cached boolean"
+
+
 @dataclass
 class QueryLog:
-    """Queries as rows; once there are ``bound`` texts the less frequent half is forgotten."""
+    """Queries as rows. The latest are kept in memory; at ``keep`` rows they are written to ``folder``, if there is one.
+
+    With a ``bound``, off by default, the less frequent half is forgotten once
+    there are so many texts in memory.
+    """
 
-    bound: int = 100
+    bound: int | None = None
+    spark: SparkSession | None = None
+    folder: str | None = None
+    keep: int = 1000
     rows: list[tuple[str, float, int, bool]] = field(default_factory=list)
+    written: int = 0
+    _count: Counter[str] = field(default_factory=Counter)
 
     def add(self, text: str, milliseconds: float, results: int, cached: bool) -> None:
         self.rows.append((text, float(milliseconds), results, cached))
-        count: dict[str, int] = {}
-        for r in self.rows:
-            count[r[0]] = count.get(r[0], 0) + 1
-        if len(count) > self.bound:
-            keep = set(sorted(count, key=lambda t: (-count[t], t))[: self.bound // 2])
-            self.rows = [r for r in self.rows if r[0] in keep]
+        self._count[text] += 1
+        if self.bound is not None and len(self._count) > self.bound:
+            keep = sorted(self._count, key=lambda t: (-self._count[t], t))[: self.bound // 2]
+            self._count = Counter({t: self._count[t] for t in keep})
+            self.rows = [r for r in self.rows if r[0] in self._count]
+        if self.folder and len(self.rows) >= self.keep:
+            self.flush()
+
+    def flush(self) -> None:
+        """Write the rows in memory."""
+        if self.folder and self.rows:
+            self.spark.createDataFrame(self.rows, LOG_ROW).coalesce(1).write.mode("append").parquet(self.folder)
+            self.written += len(self.rows)
+            self.rows, self._count = [], Counter()
+
+    def __len__(self) -> int:
+        """Queries since the log was opened, forgotten ones left out."""
+        return self.written + len(self.rows)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "query string, milliseconds double, results long, cached boolean")
+        """All rows, those in memory and those that were written."""
+        now = spark.createDataFrame(self.rows, LOG_ROW)
+        return now.unionByName(spark.read.schema(LOG_ROW).parquet(self.folder)) if self.written else now
 
 
 def top_queries(log: DataFrame, n: int = 10) -> DataFrame:
@@ -179,18 +213,36 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, bm25: BM25 | None = None, cache: int = 1000):
         self.spark, self.store, self.bm25 = spark, Store(spark, root), bm25 or BM25()
-        self.cache, self.log = ResultCache(cache), QueryLog()
+        self.cache, self.log = ResultCache(cache), QueryLog(spark=spark, folder=f"{root.rstrip('/')}/_queries")
         self.metrics_started = time.time()
 
-    def create_index(self, name: str, mapping: Mapping | None = None) -> None:
-        self.store.create(name, mapping)
-
-    def _version(self, name: str) -> float:
-        return self.store._manifest(name)["updated"]
-
-    def index(self, name: str, fields: list[str] | None = None) -> AdHocIndex:
-        """All of a document is searched: the declared fields, and what else its body has."""
-        docs = self.store.documents(name)
+    def create_index(self, name: str, mapping: Mapping | None = None, buckets: int = BUCKETS) -> None:
+        """``buckets`` is the number of parts of the postings' terms, of which a query reads those of its own; more for large indexes."""
+        self.store.create(name, mapping, buckets)
+
+    def index(self, name: str, fields: list[str] | None = None) -> SegmentedIndex:
+        """All of a document is searched: the declared fields, and what else its body has.
+
+        Segments are searched by their stored postings, which are written by the
+        first search after a segment; what is only in the log is indexed in the scan.
+        """
+        manifest, root = self.store.manifest(name), f"{self.store.files.root}/{name}"
+        mapping, log = self.store.mapping(name), self.store.log(name)
+        for s in manifest["segments"]:
+            if not self.store.files.exists(f"{name}/postings/segment={s}/_SUCCESS"):
+                own = self._searchable(typed(self.store.segments(name, [s]).select("id", "body"), mapping), name)
+                write_postings(own, root, s, manifest["buckets"])
+        changed = None
+        if manifest["batches"]:
+            changed = log.select(F.col("id").alias("document_id")).distinct()
+            changed = F.broadcast(changed) if self.store.files.size(f"{name}/log") <= BROADCAST_BYTES else changed
+        nothing = self.spark.createDataFrame([], "id string, body string")
+        fresh = self._searchable(typed(apply_log(nothing, log), mapping), name)
+        docs = self._searchable(self.store.documents(name), name, fields)
+        return SegmentedIndex(docs.docs, docs.fields, root, manifest["segments"], manifest["buckets"], fresh, changed)
+
+    def _searchable(self, docs: DataFrame, name: str, fields: list[str] | None = None) -> AdHocIndex:
+        """Typed documents as an index of all their text."""
         docs = with_fields(docs, fields or [])
         declared = [f.name for f in self.store.mapping(name).fields]
         # The whole body once; declared fields would count twice.
@@ -202,7 +254,7 @@ class Engine:
 
     def search(self, name: str, request: SearchRequest | dict) -> SearchResponse:
         request = parse_request(request) if isinstance(request, dict) else request
-        key = (name, self._version(name), request.key())
+        key = (name, *self.store.version(name), request.key())
         begun = time.time()
         found = self.cache.get(key)
         if found is None:
@@ -211,7 +263,7 @@ class Engine:
             self.cache.put(key, response)
         else:
             response = found
-        self.log.add(query_text(request.query), (time.time() - begun) * 1000, response.hits.count(), found is not None)
+        self.log.add(query_text(request.query), (time.time() - begun) * 1000, response.total(), found is not None)
         return response
 
     def search_text(self, name: str, text: str) -> DataFrame:
@@ -225,7 +277,7 @@ class Engine:
         return aggregate(self.index(name, [a.field for a in wanted]).docs, wanted)
 
     def metrics(self) -> dict[str, float]:
-        return {"indexes": len(self.store.names()), "documents": self.store.total_documents(), "queries": len(self.log.rows), "cache_rate": self.cache.rate(), "uptime_seconds": time.time() - self.metrics_started}
+        return {"indexes": len(self.store.names()), "documents": self.store.total_documents(), "queries": len(self.log), "cache_rate": self.cache.rate(), "uptime_seconds": time.time() - self.metrics_started}
 
 
 def _scalar_text(v):

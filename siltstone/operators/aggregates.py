@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators.filters import number_value, string_value
@@ -22,12 +22,14 @@ def metrics(hits: DataFrame, wanted: list[tuple[str, str]]) -> DataFrame:
     """
     columns = []
     for name, kind in wanted:
-        v = number_value(hits.schema, name)
-        made = {"count": F.count(v), "min": F.min(v), "max": F.max(v), "avg": F.avg(v), "sum": F.coalesce(F.sum(v), F.lit(0.0))}
-        columns.append(made[kind].alias(f"{name}_{kind}"))
+        columns.append(_metric(number_value(hits.schema, name), kind).alias(f"{name}_{kind}"))
     return hits.agg(*columns)
 
 
+def _metric(v: Column, kind: str) -> Column:
+    return {"count": F.count(v), "min": F.min(v), "max": F.max(v), "avg": F.avg(v), "sum": F.coalesce(F.sum(v), F.lit(0.0))}[kind]
+
+
 def histogram(hits: DataFrame, name: str, interval: float) -> DataFrame:
     """``(key, count)`` of the buckets ``[key, key + interval)`` that hold a number."""
     v = number_value(hits.schema, name)
@@ -40,6 +42,20 @@ def facets(hits: DataFrame, names: list[str]) -> DataFrame:
     return hits.select(*columns).dropna().groupBy(*names).agg(F.count("*").alias("count"))
 
 
+def nested(hits: DataFrame, names: list[str], wanted: list[tuple[str, str]]) -> DataFrame:
+    """Terms in terms: ``(*names, count, field_kind...)``, metrics of the documents of each combination of string fields, in one pass.
+
+    Null and other types are left out, as in ``terms``.
+    """
+    columns = [string_value(hits.schema, n).alias(f"key_{i}") for i, n in enumerate(names)]
+    numbers = {f: number_value(hits.schema, f) for f, _ in wanted}
+    rows = hits.select(*columns, *[v.alias(f"value_{i}") for i, v in enumerate(numbers.values())]).dropna(subset=[f"key_{i}" for i in range(len(names))])
+    at = {f: F.col(f"value_{i}") for i, f in enumerate(numbers)}
+    made = [_metric(at[f], kind).alias(f"{f}_{kind}") for f, kind in wanted]
+    found = rows.groupBy(*[F.col(f"key_{i}").alias(n) for i, n in enumerate(names)]).agg(F.count("*").alias("count"), *made)
+    return found.orderBy(F.desc("count"), *names)
+
+
 def aggregate(hits: DataFrame, wanted: tuple[Aggregation, ...]) -> dict[tuple[str, str], DataFrame]:
     """A DataFrame for each (field, kind); metrics share one pass."""
     out: dict[tuple[str, str], DataFrame] = {}

@@ -50,16 +50,24 @@ class Files:
             raise StorageError(f"{name} is damaged: {e}") from None
 
     def write_json(self, name: str, value: Any) -> None:
-        """By a temporary file and a rename, so that a reader sees the old one or the new one."""
+        """By a temporary file and a rename that replaces, so that a reader sees the old one or the new one, whenever the writer dies."""
         temporary = f"{name}.{uuid.uuid4().hex}.tmp"
         stream = self._fs.create(self._path(temporary), True)
         try:
             stream.write(bytearray(json.dumps(value, indent=1, sort_keys=True).encode()))
         finally:
             stream.close()
-        self._fs.delete(self._path(name), False)
-        if not self._fs.rename(self._path(temporary), self._path(name)):
-            raise StorageError(f"{name} can't be written")
+        self._replace(temporary, name)
+
+    def _replace(self, old: str, new: str) -> None:
+        """One rename over what is there."""
+        fs = self._jvm.org.apache.hadoop.fs
+        context = fs.FileContext.getFileContext(self._path("").toUri() if self._path("").toUri().getScheme() else self._fs.getUri(), self._fs.getConf())
+        # The enumeration is nested, so it is reached by its loaded class.
+        kind = self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+        options = self._jvm.java.lang.reflect.Array.newInstance(kind, 1)
+        options[0] = getattr(fs, "Options$Rename").OVERWRITE
+        context.rename(self._path(old), self._path(new), options)
 
     def clear_temporary(self, name: str = "") -> None:
         """Remove what writers that died left behind."""

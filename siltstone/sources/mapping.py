@@ -70,6 +70,18 @@ def typed(bodies: DataFrame, mapping: Mapping) -> DataFrame:
     return bodies.select(F.col("id").alias("document_id"), *columns, v.alias("extra"))
 
 
+def set_field(docs: DataFrame, name: str, value: Column) -> DataFrame:
+    """``docs`` with a field set, whether they had it or not; of documents that aren't saved yet, as saved ones don't change."""
+    return docs.withColumn(name, value)
+
+
+def set_in_body(body: Column, name: str, value: Column) -> Column:
+    """A JSON object with a field set; null for what isn't one."""
+    fields = F.try_variant_get(F.try_parse_json(body), "$", "map<string,variant>")
+    others = F.map_filter(fields, lambda k, _: k != F.lit(name))
+    return F.when(fields.isNotNull(), F.to_json(F.map_concat(others, F.create_map(F.lit(name), value.cast("variant")))))
+
+
 def with_fields(docs: DataFrame, names: list[str]) -> DataFrame:
     """``docs`` with undeclared fields of ``extra`` as variant columns."""
     new = [n for n in names if n not in docs.columns]

@@ -3,14 +3,16 @@
 An index is a folder: a manifest, immutable Parquet segments of ``(id, body)``
 and a change log of JSON lines, one batch a folder. Its documents are the
 segments' (the oldest wins an id), changed by the log in the order of ``seq``.
-The manifest is replaced last in every operation, so one that is cut off leaves
-the former state.
+The manifest is replaced last in every operation, by one rename, so one that is
+cut off leaves the former state; it also counts its changes and names the last
+batch of a feed. Postings of a segment may be kept beside it.
 """
 
 from __future__ import annotations
 
 import re
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from siltstone.sources.segments import MergePolicy, Registry
 
 BODY = "id string, body string"
 LOG = "seq long, op string, id string, body string, crc string"
+#: Term buckets of the postings of an index.
+BUCKETS = 16
 
 
 def first_of_each(rows: DataFrame, key: str, order: list) -> DataFrame:
@@ -63,12 +67,12 @@ class Store:
 
     # catalog
 
-    def create(self, name: str, mapping: Mapping | None = None) -> None:
+    def create(self, name: str, mapping: Mapping | None = None, buckets: int = BUCKETS) -> None:
         if not re.fullmatch(r"[A-Za-z0-9_-]{1,128}", name):
             raise SearchError(f"{name!r} is no index name: 1 to 128 letters, digits, - and _")
         if self.exists(name):
             raise IndexAlreadyExists(name)
-        self._save(name, {"version": 1, "mapping": (mapping or Mapping()).to_json(), "segments": [], "batches": [], "seq": 0, "registry": []})
+        self._save(name, {"version": 1, "uid": uuid.uuid4().hex, "changes": 0, "feed": -1, "buckets": buckets, "mapping": (mapping or Mapping()).to_json(), "segments": [], "batches": [], "seq": 0, "registry": []})
 
     def exists(self, name: str) -> bool:
         return self.files.exists(f"{name}/manifest.json")
@@ -77,11 +81,11 @@ class Store:
         return [n for n in self.files.names() if self.exists(n)]
 
     def delete(self, name: str) -> None:
-        self._manifest(name)
+        self.manifest(name)
         self.files.delete(name)
 
     def mapping(self, name: str) -> Mapping:
-        return Mapping.from_json(self._manifest(name)["mapping"])
+        return Mapping.from_json(self.manifest(name)["mapping"])
 
     def info(self, name: str) -> dict:
         return {"name": name, "document_count": self.bodies(name).count(), "fields": self.mapping(name).to_json()}
@@ -89,36 +93,40 @@ class Store:
     def total_documents(self) -> int:
         return sum(self.bodies(n).count() for n in self.names())
 
-    def _manifest(self, name: str) -> dict:
+    def manifest(self, name: str) -> dict:
+        """What an index consists of, as it was last saved."""
         if not self.exists(name):
             raise IndexNotFound(name)
         return self.files.read_json(f"{name}/manifest.json")
 
     def _save(self, name: str, manifest: dict) -> None:
         manifest["updated"] = time.time()
+        manifest["changes"] = manifest.get("changes", 0) + 1
         manifest["segments"] = sorted(set(manifest["segments"]))
         self.files.write_json(f"{name}/manifest.json", manifest)
 
     def missing_segments(self, name: str) -> list[int]:
         """Segments of the manifest whose files are gone."""
-        return [s for s in self._manifest(name)["segments"] if not self.files.exists(f"{name}/segments/{s:06d}")]
+        return [s for s in self.manifest(name)["segments"] if not self.files.exists(f"{name}/segments/{s:06d}")]
 
     # reading
 
     def segments(self, name: str, ids: list[int] | None = None) -> DataFrame:
         """``(segment_id, id, body)`` of the live segments, or some of them."""
-        manifest = self._manifest(name)
+        manifest = self.manifest(name)
         unknown = set(ids or []) - set(manifest["segments"])
         if unknown:
             raise StorageError(f"no segments {sorted(unknown)} in {name}")
-        out = self.spark.createDataFrame([], f"segment_id int, {BODY}")
-        for s in manifest["segments"] if ids is None else ids:
-            out = out.union(self.spark.read.schema(BODY).parquet(f"{self.files.root}/{name}/segments/{s:06d}").select(F.lit(s).alias("segment_id"), "id", "body"))
-        return out
+        paths = [f"{self.files.root}/{name}/segments/{s:06d}" for s in (manifest["segments"] if ids is None else ids)]
+        if not paths:
+            return self.spark.createDataFrame([], f"segment_id int, {BODY}")
+        # One scan, however many segments; the number is in the file's path.
+        number = F.regexp_extract(F.col("_metadata.file_path"), r"/segments/(\d+)/[^/]*$", 1).cast("int")
+        return self.spark.read.schema(BODY).parquet(*paths).select(number.alias("segment_id"), "id", "body")
 
     def log(self, name: str) -> DataFrame:
         """The change log, up to the first line that is damaged."""
-        batches = [f"{self.files.root}/{name}/log/{b:08d}" for b in self._manifest(name)["batches"]]
+        batches = [f"{self.files.root}/{name}/log/{b:08d}" for b in self.manifest(name)["batches"]]
         if not batches:
             return self.spark.createDataFrame([], LOG)
         rows = self.spark.read.schema(LOG).json(batches)
@@ -153,15 +161,28 @@ class Store:
 
     # writing
 
-    def _append(self, name: str, rows: DataFrame) -> None:
-        """Add ``(seq, op, id, body)`` to the log as one batch; ``seq`` counts on from what is there."""
-        manifest = self._manifest(name)
+    def version(self, name: str) -> tuple[str, int]:
+        """What differs after every change, also if an index of the same name is made anew."""
+        manifest = self.manifest(name)
+        return manifest.get("uid", ""), manifest.get("changes", 0)
+
+    def feed_batch(self, name: str) -> int:
+        """The last batch of a feed that was applied, -1 before the first."""
+        return self.manifest(name).get("feed", -1)
+
+    def _append(self, name: str, rows: DataFrame, feed: int | None = None) -> None:
+        """Add ``(seq, op, id, body)`` to the log as one batch; ``seq`` counts on from what is there.
+
+        ``feed`` is the batch of a feed that it is; both become visible at once.
+        """
+        manifest = self.manifest(name)
         batch = max(manifest["batches"], default=0) + 1
         path = f"{self.files.root}/{name}/log/{batch:08d}"
         numbered = rows.withColumn("seq", F.col("seq") + manifest["seq"] + 1)
         numbered.withColumn("crc", _line_crc()).select("seq", "op", "id", "body", "crc").write.mode("overwrite").json(path)
         last = self.spark.read.schema(LOG).json(path).agg(F.max("seq")).first()[0]
         manifest["batches"].append(batch)
+        manifest["feed"] = manifest.get("feed", -1) if feed is None else feed
         manifest["seq"] = last or manifest["seq"]
         self._save(name, manifest)
 
@@ -199,7 +220,7 @@ class Store:
 
     def flush(self, name: str) -> int:
         """Write the log's additions as a segment if they are all new, else all documents as one; the log is empty then."""
-        manifest, log = self._manifest(name), self.log(name)
+        manifest, log = self.manifest(name), self.log(name)
         if log.isEmpty():
             return 0
         changed = log.where("op = 'remove'").select("id").union(self.segments(name).join(log, "id", "left_semi").select("id"))
@@ -215,7 +236,7 @@ class Store:
 
     def compact(self, name: str, ids: list[int] | None = None) -> int:
         """Merge all segments and the log, or some segments, into a new one."""
-        manifest = self._manifest(name)
+        manifest = self.manifest(name)
         if ids is not None and len(set(ids)) < 2:
             raise StorageError("a merge takes two segments at least")
         rows = self.bodies(name) if ids is None else merge_segments(self.segments(name, sorted(set(ids))))
@@ -230,15 +251,65 @@ class Store:
             batches, manifest["batches"] = manifest["batches"], []
         self._save(name, manifest)
         for s in gone:
-            self.files.delete(f"{name}/segments/{s:06d}")
+            self._drop_files(name, s)
         for b in batches:
             self.files.delete(f"{name}/log/{b:08d}")
         self.files.clear_temporary(name)
         return number
 
+    def _drop_files(self, name: str, segment: int) -> None:
+        for path in (f"segments/{segment:06d}", f"postings/segment={segment}", f"lengths/segment={segment}"):
+            self.files.delete(f"{name}/{path}")
+
+    def replace(self, name: str, rows: DataFrame, ids: list[int]) -> int:
+        """Put a new segment of ``(id, body)`` in the place of some segments; the log stays."""
+        manifest = self.manifest(name)
+        unknown = set(ids) - set(manifest["segments"])
+        if unknown:
+            raise StorageError(f"no segments {sorted(unknown)} in {name}")
+        number = self._segment(name, rows, manifest)
+        manifest["segments"] = [s for s in manifest["segments"] if s not in ids] + [number]
+        self._mark(manifest, ids, "deleted")
+        self._save(name, manifest)
+        for s in ids:
+            self._drop_files(name, s)
+        return number
+
+    def delete_segment(self, name: str, segment: int) -> None:
+        """Drop one segment and its documents."""
+        manifest = self.manifest(name)
+        if segment not in manifest["segments"]:
+            raise StorageError(f"no segments [{segment}] in {name}")
+        manifest["segments"].remove(segment)
+        self._mark(manifest, [segment], "deleted")
+        self._save(name, manifest)
+        self._drop_files(name, segment)
+
+    def mark_merging(self, name: str, ids: list[int]) -> None:
+        """Say that segments are being merged; they are still read."""
+        manifest = self.manifest(name)
+        self._mark(manifest, ids, "merging")
+        self._save(name, manifest)
+
+    def sync(self, name: str) -> list[int]:
+        """Make the manifest name the segments that the registry holds as live and whose files are there; what it named wrongly."""
+        manifest = self.manifest(name)
+        live = [s.segment_id for s in Registry.from_json(manifest["registry"]).active() if self.files.exists(f"{name}/segments/{s.segment_id:06d}")]
+        wrong = sorted(set(manifest["segments"]) ^ set(live))
+        if wrong:
+            manifest["segments"] = live
+            self._save(name, manifest)
+        return wrong
+
+    @staticmethod
+    def _mark(manifest: dict, ids: list[int], state: str) -> None:
+        registry = Registry.from_json(manifest["registry"])
+        registry.mark(ids, state)
+        manifest["registry"] = registry.to_json()
+
     def compact_if_due(self, name: str, policy: MergePolicy | None = None) -> list[int]:
         """Merge what the policy picks; the ids that were merged."""
-        ids = (policy or MergePolicy()).pick(Registry.from_json(self._manifest(name)["registry"]).active())
+        ids = (policy or MergePolicy()).pick(Registry.from_json(self.manifest(name)["registry"]).active())
         if len(ids) > 1:
             self.compact(name, ids)
         return ids
@@ -257,7 +328,7 @@ class Store:
             raise StorageError("the snapshot fails its checksum")
         name = name or head["name"]
         self.create(name, Mapping.from_json(head["mapping"]))
-        manifest = self._manifest(name)
+        manifest = self.manifest(name)
         manifest["segments"].append(self._segment(name, rows, manifest))
         self._save(name, manifest)
         return name
