@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.operators.filters import number_value, string_value
 from siltstone.plans.dsl import Sort
+from siltstone.sources.scratch import work_folder
 
 
 def sort_keys(schema: T.StructType, sorts: tuple[Sort, ...]) -> list[Column]:
@@ -39,6 +40,21 @@ def page(ordered: DataFrame, offset: int = 0, size: int = 10) -> DataFrame:
     return ordered.offset(offset).limit(size) if offset else ordered.limit(size)
 
 
+def places(ordered: DataFrame) -> DataFrame:
+    """``(document_id, place)``: the place of every row of an ordered table, from 1.
+
+    An ordered table is range-partitioned, so a row's place is its place in its
+    partition and the rows of those before; a count a partition is all that is gathered.
+    """
+    spark = ordered.sparkSession
+    path = work_folder(spark, "places")
+    ordered.select("document_id", F.monotonically_increasing_id().alias("m")).write.parquet(path)
+    rows = spark.read.schema("document_id string, m long").parquet(path).select("document_id", F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND((1 << 33) - 1).alias("at"))
+    counts = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return rows.join(F.broadcast(before), "part").select("document_id", (F.col("before") + F.col("at") + 1).alias("place"))  # a row a partition
+
+
 def after(hits: DataFrame, score: float, document_id: str) -> DataFrame:
     """The hits that follow one in the default order: a page without reading those before."""
     return hits.where((F.col("score") < score) | ((F.col("score") == score) & (F.col("document_id") > document_id)))

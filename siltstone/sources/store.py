@@ -206,6 +206,11 @@ class Store:
         self.get(name, document_id)
         self._append(name, self.spark.createDataFrame([(0, "remove", document_id, None)], "seq long, op string, id string, body string"))
 
+    def bulk_remove(self, name: str, ids: DataFrame) -> None:
+        """Remove the documents of ``(id)`` in one batch; ids that aren't there are passed over."""
+        there = self.bodies(name).select("id").join(ids.select("id").distinct(), "id", "left_semi")
+        self._append(name, there.select(F.lit(0).cast("long").alias("seq"), F.lit("remove").alias("op"), "id", F.lit(None).cast("string").alias("body")))
+
     # maintenance
 
     def _segment(self, name: str, rows: DataFrame, manifest: dict) -> int:
