@@ -7,10 +7,11 @@ subwords are classes of their own. Class shares come from the counts over all
 documents.
 
 Training is local stochastic gradient descent: every run of ``REPLICA`` tokens
-trains a copy of the model on the windows of the round, the copies are averaged by a tree of
-small groups, and the average starts the next round. Each window is in one round. Scoring cuts a document
-into overlapping windows and scores each token once, in the first window that
-gives it at least ``CONTEXT - STRIDE`` tokens of context, or all there are.
+trains a copy of the model on the windows of the round, the copies are averaged
+by a tree of small groups, and the average starts the next round. A document is
+cut into overlapping windows; each window is in one round. Training and scoring
+take each token once, in the first window that gives it at least ``CONTEXT -
+STRIDE`` tokens of context, or all there are.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CONTEXT, STRIDE = 64, 48
 WIDTH, CLASSES, INPUTS = 16, 128, 2048
 #: Tokens that train one copy; every window of every document trains in one of the ``ROUNDS``, in batches of ``BATCH``.
-REPLICA, ROUNDS, BATCH = 1 << 20, 2, 16
-RATE = 0.01
+REPLICA, ROUNDS, BATCH = 1 << 20, 2, 32
+RATE = 0.02
 #: Copies averaged in one group.
 FAN_IN = 64
 BLOCK = 4096
@@ -133,6 +134,7 @@ def initial(v: Vocabulary, seed: int = 1) -> np.ndarray:
 
 
 _MASK = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
+_LOWER = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
 
 
 def _far(z: np.ndarray) -> bool:
@@ -150,44 +152,53 @@ def _softmax(z: np.ndarray, far: bool) -> None:
 def gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, on: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the positions ``on`` of windows of input rows ``x`` and classes ``y``, and its gradient."""
     b, d, live = len(x), WIDTH, np.flatnonzero(on)
-    n = max(1, len(live))
-    h0 = p["emb"][x] + p["pos"]
-    q, k, v = h0 @ p["q"], h0 @ p["k"], h0 @ p["v"]
+    share, scale = np.float32(1 / max(1, len(live))), np.float32(1 / np.sqrt(d))
+    h0 = p["emb"][x]
+    h0 += p["pos"]
+    f0 = h0.reshape(-1, d)
+    w = np.concatenate([p["q"] * scale, p["k"], p["v"]], axis=1)
+    qkv = (f0 @ w).reshape(b, CONTEXT, 3 * d)
+    q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
     a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(1 / np.sqrt(d))
-    far = _far(a)
-    a += _MASK
-    _softmax(a, far)
+    if _far(a):
+        a += _MASK
+        a -= a.max(-1, keepdims=True)
+    np.exp(a, out=a)
+    a *= _LOWER
+    a /= (a @ np.ones(CONTEXT, a.dtype))[..., None]
     mixed = a @ v
-    h = (h0 + mixed @ p["o"]).reshape(-1, d)[live]
+    flat_mixed = mixed.reshape(-1, d)
+    h = (f0 + flat_mixed @ p["o"])[live]
     z = h @ p["out"]
     z += p["bias"]
     _softmax(z, _far(z))
     at, target = np.arange(len(live)), y.reshape(-1)[live]
     loss = -np.log(np.maximum(z[at, target], 1e-30)).mean() if len(live) else 0.0
     z[at, target] -= 1
-    z *= np.float32(1 / n)
+    z *= share
     g = {"out": h.T @ z, "bias": z.sum(0)}
-    dh = np.zeros((b * CONTEXT, d), np.float32)
+    dh = np.zeros((b * CONTEXT, d), f0.dtype)
     dh[live] = z @ p["out"].T
-    dh = dh.reshape(b, CONTEXT, d)
-    flat = lambda m: m.reshape(-1, d)
-    g["o"] = flat(mixed).T @ flat(dh)
-    dm = dh @ p["o"].T
+    g["o"] = flat_mixed.T @ dh
+    dm = (dh @ p["o"].T).reshape(b, CONTEXT, d)
+    dqkv = np.empty_like(qkv)
+    dqkv[..., 2 * d :] = a.transpose(0, 2, 1) @ dm
     da = dm @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dm
-    da -= np.einsum("bij,bij->bi", da, a)[..., None]
+    # The mean of a row of da under its row of a is the product of dm and what was mixed.
+    da -= (dm * mixed).sum(-1)[..., None]
     da *= a
-    da *= np.float32(1 / np.sqrt(d))
-    dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-    g["q"], g["k"], g["v"] = flat(h0).T @ flat(dq), flat(h0).T @ flat(dk), flat(h0).T @ flat(dv)
-    dh0 = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-    g["pos"] = dh0.sum(0)
+    dqkv[..., :d] = da @ k
+    dqkv[..., d : 2 * d] = da.transpose(0, 2, 1) @ q
+    flat = dqkv.reshape(-1, 3 * d)
+    gw = f0.T @ flat
+    g["q"], g["k"], g["v"] = gw[:, :d] * scale, gw[:, d : 2 * d], gw[:, 2 * d :]
+    dh += flat @ w.T
+    g["pos"] = dh.reshape(b, CONTEXT, d).sum(0)
     rows = x.reshape(-1)
     order = np.argsort(rows, kind="stable")
     start = np.flatnonzero(np.diff(rows[order], prepend=-1))
     g["emb"] = np.zeros_like(p["emb"])
-    g["emb"][rows[order][start]] = np.add.reduceat(flat(dh0)[order], start, axis=0)
+    g["emb"][rows[order][start]] = np.add.reduceat(dh[order], start, axis=0)
     return float(loss), g
 
 
@@ -200,9 +211,18 @@ class Adam:
         loss, g = gradient(unpack(self.flat, self.v), x, y, on)
         flat = np.concatenate([g[name].reshape(-1) for name in layout(self.v)]).astype(np.float32)
         self.t += 1
-        self.m += 0.1 * (flat - self.m)
-        self.s += 0.01 * (flat * flat - self.s)
-        self.flat -= self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.s / (1 - 0.99**self.t)) + 1e-6)
+        self.m *= 0.9
+        self.m += 0.1 * flat
+        np.multiply(flat, flat, out=flat)
+        flat *= 0.01
+        self.s *= 0.99
+        self.s += flat
+        np.divide(self.s, 1 - 0.99**self.t, out=flat)
+        np.sqrt(flat, out=flat)
+        flat += 1e-6
+        np.divide(self.m, flat, out=flat)
+        flat *= self.rate / (1 - 0.9**self.t)
+        self.flat -= flat
         return loss
 
 
@@ -232,19 +252,24 @@ class Scorer:
         # Query, key and value parts are linear in row + position, so both are folded once.
         self.table, self.pos = fold(p["emb"]), fold(p["pos"])
         self.out, self.bias, self.v = np.ascontiguousarray(p["out"]), p["bias"], v
+        # Bounds on the logits, by the longest vectors: mostly small enough for exponentials as they are.
+        longest = lambda m: float(np.sqrt((m * m).sum(-1).max()))
+        d = WIDTH
+        self.far = (longest(self.table[:, :d]) + longest(self.pos[:, :d])) * (longest(self.table[:, d : 2 * d]) + longest(self.pos[:, d : 2 * d])) > 60
+        self.steep, self.base = longest(self.out.T), float(np.abs(self.bias).max())
 
     def hidden(self, x: np.ndarray) -> np.ndarray:
         d = WIDTH
         t = self.table[x]
         t += self.pos
         a = t[..., :d] @ t[..., d : 2 * d].transpose(0, 2, 1)
-        a += _MASK
-        top = a.max()
-        if top > 60:
+        if self.far:
+            a += _MASK
             a -= a.max(-1, keepdims=True)
         np.exp(a, out=a)
+        a *= _LOWER
         mixed = a @ t[..., 2 * d : 3 * d]
-        mixed /= a.sum(-1, keepdims=True)
+        mixed /= (a @ np.ones(CONTEXT, a.dtype))[..., None]
         mixed += t[..., 3 * d :]
         return mixed
 
@@ -256,9 +281,10 @@ class Scorer:
         z += self.bias
         c = self.v.cls[target]
         mine = z[np.arange(len(c)), c]
-        np.minimum(z, 80, out=z)
+        if len(h) and float(np.sqrt((h * h).sum(-1).max())) * self.steep + self.base > 80:
+            np.minimum(z, 80, out=z)
         np.exp(z, out=z)
-        return mine - np.log(z.sum(-1)) + self.v.within[target], np.nonzero(on)[0]
+        return mine - np.log(z @ np.ones(z.shape[-1], z.dtype)) + self.v.within[target], np.nonzero(on)[0]
 
 
 def _encode(path: str):
