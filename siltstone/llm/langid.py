@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .columns import keep_rows, narrow
 from .kernels import slices
-from .scratch import few, small_batches
+from .scratch import Scratch, few, small_batches
 
 #: N-grams in a profile, and the longest n-gram.
 PROFILE, LONGEST = 300, 3
@@ -127,6 +127,7 @@ def train(docs: DataFrame, rows: int = TRAINING_ROWS, reject: float = REJECT) ->
     order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
     often = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
     chosen = known.select("lang", "doc_id").join(F.broadcast(often), "lang").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).select("lang", "doc_id")
+    chosen = Scratch(docs.sparkSession, "langid").write(chosen, "chosen")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import narrow, place, positional
-from .components import components
+from .components import contract, follow, labelled
 from .kernels import mix64, segments, slices, word_hashes
 from .scratch import Scratch, few, small_batches
 
@@ -208,16 +208,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     star = buckets.where("node != centre").select("node", "centre").distinct()
     tested = scratch.write(star.groupBy("node").agg(F.min("centre").alias("centre")), "pairs-0")
-    edges = scratch.write(_verify(docs, first, tested, threshold).select("a", "b"), "edges-0")
-    label = scratch.write(components(spark, edges, scratch, "star-0"), "label-0")
-
-    def labelled(df: DataFrame, column: str, to: str) -> DataFrame:
-        return df.join(label.select(F.col("node").alias(column), F.col("label").alias(to)), column, "left").withColumn(to, F.coalesce(to, column))
+    # A node has one of these pairs, with a lesser one: they are pointers.
+    label = follow(_verify(docs, first, tested, threshold).select(F.col("a").alias("node"), F.col("b").alias("parent")), scratch, "label-0")
 
     for turn, pairs in ((1, star), (2, None)):
         if pairs is None:
             # One row for each component in a bucket that holds several; their pairs are all that is left.
-            mixed = labelled(buckets.select("bucket", "node", "size"), "node", "la")
+            mixed = labelled(buckets.select("bucket", "node", "size"), "node", "la", label)
             several = mixed.groupBy("bucket").agg(F.min("la").alias("lo"), F.max("la").alias("hi")).where("lo != hi").select("bucket")
             mixed = scratch.write(mixed.join(several, "bucket"), "mixed")
             other = mixed.select("bucket", F.col("node").alias("centre"), F.col("size").alias("other"), F.col("la").alias("lb"))
@@ -225,7 +222,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             alike = F.least("size", "other") >= threshold * F.greatest("size", "other")
             todo = mixed.join(other, "bucket").where("la != lb and node > centre").where(alike).select("node", "centre").distinct()
         else:
-            todo = labelled(labelled(pairs, "node", "la"), "centre", "lb").where("la != lb").select("node", "centre")
+            todo = labelled(labelled(pairs, "node", "la", label), "centre", "lb", label).where("la != lb").select("node", "centre")
         todo = scratch.write(todo.join(tested, ["node", "centre"], "left_anti"), f"pairs-{turn}")
         if todo.isEmpty():
             continue
@@ -233,19 +230,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         found = scratch.write(_verify(docs, first, todo, threshold).select("a", "b"), f"edges-{turn}")
         if found.isEmpty():
             continue
-        edges = edges.union(found)
-        label = scratch.write(components(spark, edges, scratch, f"star-{turn}"), f"label-{turn}")
+        label = contract(spark, label, found, scratch, f"label-{turn}")
 
     # Texts that share a doc_id are one document: their nodes are one component.
     shared = ids.distinct().groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).where("n > 1")
     if not shared.isEmpty():
         link = ids.join(shared.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b"))
-        label = scratch.write(components(spark, edges.union(link), scratch, "star-ids"), "label-ids")
+        label = contract(spark, label, link, scratch, "label-ids")
 
-    grouped = labelled(ids.distinct(), "node", "label").select("doc_id", "label").distinct()
+    grouped = labelled(ids.distinct(), "node", "label", label).select("doc_id", "label").distinct()
     total = grouped.groupBy("label").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
     grouped = scratch.write(grouped.join(total, "label").select("doc_id", "group_id", "group_size"), "groups")
-    scratch.drop("buckets", "mixed", *(f"{x}-{k}" for x in ("edges", "pairs", "label") for k in (0, 1, 2)))
+    scratch.drop("sig", "buckets", "mixed", *(f"{x}-{k}" for x in ("edges", "pairs", "label") for k in (0, 1, 2)))
     alone = docs.select("doc_id").join(grouped.select("doc_id"), "doc_id", "left_anti").distinct().select("doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"))
     return grouped.union(alone).withColumn("keep", F.col("doc_id") == F.col("group_id"))
 

@@ -2,7 +2,7 @@
 
 A shard is a sequence of independent frames: a skippable one with a JSON
 header, one with the little-endian token ids of each document, a skippable one
-with the doc_ids, and the seek table of the public seekable format (sizes and
+with the doc_ids and a bit for each that is null, and the seek table of the public seekable format (sizes and
 the low 32 bits of XXH64 of every frame's content). A reader takes the table
 from the file's end and decompresses the documents that it is asked for.
 """
@@ -30,7 +30,6 @@ LEVEL = 3
 SHARD_BYTES, SHARD_DOCS = 8 << 20, 1 << 16
 
 HEADER_MAGIC, IDS_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A51, 0x184D2A5E, 0x8F92EAB1
-NO_ID = -(1 << 63)
 
 
 class CorruptShard(ValueError):
@@ -64,7 +63,8 @@ class ShardBuilder:
         self.tokens += len(ids)
 
     def finish(self) -> bytes:
-        self._skippable(IDS_MAGIC, np.array([NO_ID if i is None else i for i in self.ids], "<i8").tobytes())
+        missing = np.array([i is None for i in self.ids], bool)
+        self._skippable(IDS_MAGIC, np.array([i or 0 for i in self.ids], "<i8").tobytes() + np.packbits(missing).tobytes())
         table = b"".join(struct.pack("<III", *e) for e in self.entries)
         table += struct.pack("<IBI", len(self.entries), 0x80, FOOTER_MAGIC)
         return b"".join(self.frames) + struct.pack("<II", SEEK_MAGIC, len(table)) + table
@@ -93,7 +93,11 @@ class ShardReader:
             raise CorruptShard("the table doesn't fit the frames")
         header = json.loads(self._skipped(0, HEADER_MAGIC))
         self.dtype, self.tokenizer = np.dtype(header["dtype"]), header["tokenizer"]
-        self.doc_ids = [None if i == NO_ID else int(i) for i in np.frombuffer(self._skipped(count - 1, IDS_MAGIC), "<i8")]
+        n, ids = count - 2, self._skipped(count - 1, IDS_MAGIC)
+        if len(ids) != 8 * n + -(-n // 8):
+            raise CorruptShard("the ids don't fit the frames")
+        missing = np.unpackbits(np.frombuffer(ids, np.uint8, offset=8 * n), count=n)
+        self.doc_ids = [None if gone else int(i) for i, gone in zip(np.frombuffer(ids, "<i8", n), missing, strict=True)]
 
     def _read(self, at: int, size: int) -> bytes:
         self.file.seek(at)
@@ -161,14 +165,18 @@ def shards(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def write_shards(table: DataFrame, folder: str) -> None:
-    """Each shard as ``folder/<shard>.zst``, by rename, in a folder that all executors share."""
-    os.makedirs(folder, exist_ok=True)
+    """Each shard as ``folder/<shard>.zst``, by rename; ``folder`` is a path or URI of a file system that all executors reach."""
 
     def run(rows) -> None:
+        from pyarrow.fs import FileSystem
+
+        files, root = FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
         for row in rows:
-            path = f"{folder}/{row.shard}.zst"
-            with open(f"{path}.{os.getpid()}.tmp", "wb") as f:
+            path = f"{root}/{row.shard}.zst"
+            temporary = f"{path}.{os.getpid()}.tmp"
+            with files.open_output_stream(temporary) as f:
                 f.write(row.data)
-            os.replace(f.name, path)
+            files.move(temporary, path)
 
     table.select("shard", "data").foreachPartition(run)

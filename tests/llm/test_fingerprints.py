@@ -53,7 +53,7 @@ def test_same_as_brute_force(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     got = queries.op8_fingerprints(spark, SF).collect()
     assert len(got) == len(texts)
-    for r in got[:60]:
+    for r in got:
         assert r["fingerprint"] == brute(texts[r["doc_id"]])
 
 

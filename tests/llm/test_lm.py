@@ -98,6 +98,21 @@ def test_query(spark):
         assert r["perplexity"] == pytest.approx(np.exp(-r["logprob"] / r["n_tokens"]))
 
 
+def test_query_is_a_loop_over_its_model(spark, monkeypatch):
+    kept = []
+    train = lm.train
+    monkeypatch.setattr(lm, "train", lambda *args: kept.append(train(*args)) or kept[-1])
+    rows = queries.op1_lm_scoring(spark, SF).collect()
+    (v, flat), enc = kept[0], lm.tokenizer()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    compared = 0
+    for r in rows:
+        if r["n_tokens"] <= 300:
+            compared += 1
+            assert r["logprob"] == pytest.approx(slow(flat, v, enc.encode_to_numpy(docs[r["doc_id"]]).astype(np.uint16)), rel=1e-3)
+    assert compared > 20
+
+
 def test_better_than_the_unigram_model(spark):
     sf, enc = "/root/testdata/sf0.01", lm.tokenizer()
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -174,3 +174,11 @@ def test_long_runs_of_white_space_change_nothing():
     for text in (" " * 10_000_000 + "x", "\n" * 10_000_000):  # the pattern alone gives up on these
         assert enc.decode(token_ids(enc, text).tolist()) == text
     assert len(token_ids(enc, "")) == 0
+
+
+def test_every_id_comes_back():
+    b = token_output.ShardBuilder("<u2", "x")
+    ids = [-(1 << 63), None, 0, (1 << 63) - 1, None, 5, 6, 7, 8, 9]
+    for i in ids:
+        b.add(i, np.arange(3))
+    assert token_output.ShardReader(b.finish()).doc_ids == ids
