@@ -58,5 +58,6 @@ def few(df: DataFrame, rows: int) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of 1,000 rows unless the session chose otherwise: long texts make large rows."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(name):
+        spark.conf.set(name, "1000")
