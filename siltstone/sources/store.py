@@ -217,7 +217,8 @@ class Store:
         registry = Registry.from_json(manifest["registry"])
         number = max(registry.next_id(), max(manifest["segments"], default=0) + 1)
         path = f"{name}/segments/{number:06d}"
-        rows.select("id", "body").write.mode("errorifexists").parquet(f"{self.files.root}/{path}")
+        # No manifest names this number, so what is there was left by a writer that died.
+        rows.select("id", "body").write.mode("overwrite").parquet(f"{self.files.root}/{path}")
         count = self.spark.read.parquet(f"{self.files.root}/{path}").count()
         registry.add(number, count, self.files.size(path))
         manifest["registry"] = registry.to_json()
