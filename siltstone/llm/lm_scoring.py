@@ -137,154 +137,233 @@ _MASK = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
 _LOWER = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
 
 
-def _far(z: np.ndarray) -> bool:
-    """Whether exponentials of ``z`` need its rows' maxima taken off."""
-    return bool(z.size) and max(z.max(), -z.min()) > 60
-
-
-def _softmax(z: np.ndarray, far: bool) -> None:
-    if far:
-        z -= z.max(-1, keepdims=True)
-    np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[-1], z.dtype))[..., None]
-
-
-def gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, on: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the positions ``on`` of windows of input rows ``x`` and classes ``y``, and its gradient."""
-    b, d, live = len(x), WIDTH, np.flatnonzero(on)
-    share, scale = np.float32(1 / max(1, len(live))), np.float32(1 / np.sqrt(d))
-    h0 = p["emb"][x]
-    h0 += p["pos"]
-    f0 = h0.reshape(-1, d)
-    w = np.concatenate([p["q"] * scale, p["k"], p["v"]], axis=1)
-    qkv = (f0 @ w).reshape(b, CONTEXT, 3 * d)
-    q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
-    a = q @ k.transpose(0, 2, 1)
-    if _far(a):
-        a += _MASK
-        a -= a.max(-1, keepdims=True)
-    np.exp(a, out=a)
-    a *= _LOWER
-    a /= (a @ np.ones(CONTEXT, a.dtype))[..., None]
-    mixed = a @ v
-    flat_mixed = mixed.reshape(-1, d)
-    h = (f0 + flat_mixed @ p["o"])[live]
-    z = h @ p["out"]
-    z += p["bias"]
-    _softmax(z, _far(z))
-    at, target = np.arange(len(live)), y.reshape(-1)[live]
-    loss = -np.log(np.maximum(z[at, target], 1e-30)).mean() if len(live) else 0.0
-    z[at, target] -= 1
-    z *= share
-    g = {"out": h.T @ z, "bias": z.sum(0)}
-    dh = np.zeros((b * CONTEXT, d), f0.dtype)
-    dh[live] = z @ p["out"].T
-    g["o"] = flat_mixed.T @ dh
-    dm = (dh @ p["o"].T).reshape(b, CONTEXT, d)
-    dqkv = np.empty_like(qkv)
-    dqkv[..., 2 * d :] = a.transpose(0, 2, 1) @ dm
-    da = dm @ v.transpose(0, 2, 1)
-    # The mean of a row of da under its row of a is the product of dm and what was mixed.
-    da -= (dm * mixed).sum(-1)[..., None]
-    da *= a
-    dqkv[..., :d] = da @ k
-    dqkv[..., d : 2 * d] = da.transpose(0, 2, 1) @ q
-    flat = dqkv.reshape(-1, 3 * d)
-    gw = f0.T @ flat
-    g["q"], g["k"], g["v"] = gw[:, :d] * scale, gw[:, d : 2 * d], gw[:, 2 * d :]
-    dh += flat @ w.T
-    g["pos"] = dh.reshape(b, CONTEXT, d).sum(0)
-    rows = x.reshape(-1)
-    order = np.argsort(rows, kind="stable")
-    start = np.flatnonzero(np.diff(rows[order], prepend=-1))
-    g["emb"] = np.zeros_like(p["emb"])
-    g["emb"][rows[order][start]] = np.add.reduceat(dh[order], start, axis=0)
-    return float(loss), g
+#: Windows that are worked on at a time, small enough for a core's cache, and in one product with the classes: products of up to a million steps are the fastest.
+CHUNK, GROUP = 16, 4
+
+
+def _fits(sums: np.ndarray) -> bool:
+    """Whether sums of exponentials neither overflowed nor vanished."""
+    return bool(1e-15 < sums.min() and sums.max() < 1e15)
+
+
+class _Attention:
+    """Causal attention of the positions from ``lo`` on; the exponentials are taken as they are if their sums fit.
+
+    One head is as wide as the model, so queries and keys meet in one square
+    matrix (``qk``), and what is mixed are the inputs themselves.
+    """
+
+    def __init__(self, lo: int, size: int, dtype: np.dtype):
+        self.lo, self.lower, self.wide = lo, _LOWER[lo:], np.ones(CONTEXT, dtype)
+        self.buffer = np.empty((size, CONTEXT - lo, CONTEXT), dtype)
+
+    def __call__(self, f0: np.ndarray, qk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(queries, inputs by column, weights before division by their sums, the sums' inverses)."""
+        q, across = f0[:, self.lo :] @ qk, f0.transpose(0, 2, 1).copy()
+        a = np.matmul(q, across, out=self.buffer[: len(f0)])
+        np.exp(a, out=a)
+        a *= self.lower
+        s = a @ self.wide
+        if not _fits(s):
+            np.matmul(q, across, out=a)
+            a += _MASK[self.lo :]
+            a -= a.max(-1, keepdims=True)
+            np.exp(a, out=a)
+            s = a @ self.wide
+        np.divide(1, s, out=s)
+        return q, across, a, s
+
+
+class _Output:
+    """Exponentials of the classes' logits, a row a position; ``each`` is a factor that a class has besides."""
+
+    def __init__(self, out: np.ndarray, bias: np.ndarray, most: int):
+        self.out, self.bias, self.prior = np.ascontiguousarray(out), None, bias
+        with np.errstate(over="ignore"):
+            self.each = np.exp(bias)
+        if not _fits(self.each):
+            self.bias, self.prior, self.each = bias, np.zeros_like(bias), np.ones_like(bias)
+        self.buffer = np.empty((most, len(bias)), out.dtype)
+
+    def logits(self, h: np.ndarray) -> np.ndarray:
+        z = self.buffer[: h.shape[0] * h.shape[1]]
+        np.matmul(h, self.out, out=z.reshape(*h.shape[:2], -1))
+        if self.bias is not None:
+            z += self.bias
+        return z
+
+    def __call__(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(exponentials, their sums over the classes with the factors, logits at the places ``target``) of positions in groups."""
+        z = self.logits(h)
+        mine = z.reshape(-1).take(target)
+        np.exp(z, out=z)
+        s = z @ self.each
+        if not _fits(s):
+            z = self.logits(h)
+            z -= z.max(-1, keepdims=True)
+            mine = z.reshape(-1).take(target)
+            np.exp(z, out=z)
+            s = z @ self.each
+        return z, s, mine
+
+
+def _grouped(h: np.ndarray, n: int) -> np.ndarray:
+    """Positions of ``n`` windows in groups."""
+    return h.reshape(n if n % GROUP else n // GROUP, -1, h.shape[-1])
+
+
+def _gather(rows: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
+    """Sums of ``values`` by their row of ``out``."""
+    order = np.argsort(rows.astype(np.uint16) if len(out) <= 1 << 16 else rows, kind="stable")
+    ordered = rows.take(order)
+    start = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+    out[:] = 0
+    out[ordered[start]] = np.add.reduceat(values.take(order, 0), start, axis=0)
+
+
+@np.errstate(over="ignore", invalid="ignore")
+def gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, on: np.ndarray, into: dict[str, np.ndarray] | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss over the positions ``on`` of windows of input rows ``x`` and classes ``y``, and its gradient (written to ``into``)."""
+    b, d, dtype = len(x), WIDTH, p["emb"].dtype
+    g = into or {name: np.empty_like(part) for name, part in p.items()}
+    share, scale = dtype.type(1 / max(1, np.count_nonzero(on))), dtype.type(1 / np.sqrt(d))
+    lo = int(on.any(0).argmax())  # no position before it is scored
+    r = CONTEXT - lo
+    qk, vo = p["q"] @ p["k"].T * scale, p["v"] @ p["o"]
+    qk_back, vo_back, short = qk.T.copy(), vo.T.copy(), np.ones(d, dtype)
+    attention, output = _Attention(lo, CHUNK, dtype), _Output(p["out"], p["bias"], CHUNK * r)
+    out_back, index = (output.out * output.each).T.copy(), np.arange(0, CHUNK * r * len(output.each), len(output.each))
+    gqk, gvo, gout, gbias = np.zeros_like(qk), np.zeros_like(vo), np.zeros_like(output.out), np.zeros_like(output.each)
+    df0, buffer = np.empty((b, CONTEXT, d), dtype), np.empty((CHUNK, r, CONTEXT), dtype)
+    found = np.empty((b, r), dtype)
+    for at in range(0, b, CHUNK):
+        now = slice(at, at + CHUNK)
+        f0 = p["emb"].take(x[now], 0)
+        f0 += p["pos"]
+        n = len(f0)
+        q, across, a, s = attention(f0, qk)
+        a *= s[..., None]
+        mixed = (a @ f0).reshape(-1, d)
+        h = mixed @ vo
+        h.reshape(n, r, d)[:] += f0[:, lo:]
+        h = _grouped(h, n)
+        label = y[now, lo:].reshape(-1)
+        target = index[: n * r] + label
+        z, s, mine = output(h, target)
+        found[now] = (mine + output.prior.take(label) - np.log(s)).reshape(n, r)
+        z.reshape(-1)[target] = np.exp(mine) - s / output.each.take(label)
+        np.divide(share, s, out=s)
+        s *= on[now, lo:].reshape(-1)
+        z *= s[:, None]
+        gbias += np.ones(n * r, dtype) @ z
+        z = _grouped(z, n)
+        gout += (h.transpose(0, 2, 1) @ z).sum(0)
+        dh = (z @ out_back).reshape(-1, d)
+        gvo += mixed.T @ dh
+        dm = dh @ vo_back
+        mixed *= dm
+        # The mean of a row of da under its row of a is the product of dm and what was mixed.
+        mean = (mixed @ short).reshape(n, r, 1)
+        dm = dm.reshape(n, r, d)
+        da = np.matmul(dm, across, out=buffer[:n])
+        da -= mean
+        da *= a
+        dq = (da @ f0).reshape(-1, d)
+        gqk += f0[:, lo:].reshape(-1, d).T @ dq
+        df = np.matmul(a.transpose(0, 2, 1), dm, out=df0[now])
+        df += da.transpose(0, 2, 1) @ q
+        dh += dq @ qk_back
+        df[:, lo:] += dh.reshape(n, r, d)
+    gqk *= scale
+    np.matmul(gqk, p["k"], out=g["q"])
+    np.matmul(gqk.T, p["q"], out=g["k"])
+    np.matmul(gvo, p["o"].T, out=g["v"])
+    np.matmul(p["v"].T, gvo, out=g["o"])
+    np.multiply(gout, output.each, out=g["out"])
+    np.multiply(gbias, output.each, out=g["bias"])
+    df0.reshape(b, -1).sum(0, out=g["pos"].reshape(-1))
+    _gather(x.reshape(-1), df0.reshape(-1, d), g["emb"])
+    return -float(found[on[:, lo:]].sum() * share), g
 
 
 class Adam:
     def __init__(self, flat: np.ndarray, v: Vocabulary, rate: float = RATE):
         self.flat, self.v, self.rate, self.t = flat, v, rate, 0
+        # Ten times the mean of gradients and a hundred times that of their squares.
         self.m, self.s = np.zeros_like(flat), np.zeros_like(flat)
+        self.grad, self.move = np.empty_like(flat), np.empty_like(flat)
+        self.parts, self.into = unpack(flat, v), unpack(self.grad, v)
 
     def step(self, x: np.ndarray, y: np.ndarray, on: np.ndarray) -> float:
-        loss, g = gradient(unpack(self.flat, self.v), x, y, on)
-        flat = np.concatenate([g[name].reshape(-1) for name in layout(self.v)]).astype(np.float32)
+        loss, _ = gradient(self.parts, x, y, on, self.into)
+        grad, move = self.grad, self.move
         self.t += 1
         self.m *= 0.9
-        self.m += 0.1 * flat
-        np.multiply(flat, flat, out=flat)
-        flat *= 0.01
+        self.m += grad
+        grad *= grad
         self.s *= 0.99
-        self.s += flat
-        np.divide(self.s, 1 - 0.99**self.t, out=flat)
-        np.sqrt(flat, out=flat)
-        flat += 1e-6
-        np.divide(self.m, flat, out=flat)
-        flat *= self.rate / (1 - 0.9**self.t)
-        self.flat -= flat
+        self.s += grad
+        unit = 10 * np.sqrt(1 - 0.99**self.t)
+        np.sqrt(self.s, out=move)
+        move += 1e-6 * unit
+        np.divide(self.m, move, out=move)
+        move *= self.rate * 0.1 * unit / (1 - 0.9**self.t)
+        self.flat -= move
         return loss
 
 
-def windows(ids: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, first position scored) of a document's windows; a target of -1 is past its end."""
+def window_count(n: int) -> int:
+    """The number of windows of a document of ``n`` tokens."""
+    return 1 + max(0, -(-(n - CONTEXT) // STRIDE))
+
+
+def windows(ids: np.ndarray, v: Vocabulary, pick: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, targets, first position scored) of a document's windows, or of those picked; a target of -1 is past its end."""
     n = len(ids)
-    count = 1 + max(0, -(-(n - CONTEXT) // STRIDE))
+    count = window_count(n)
     size = (count - 1) * STRIDE + CONTEXT
     x = np.full(size, v.row[v.start], np.int32)
     x[1 : min(n, size)] = v.row[ids[: min(n, size) - 1]]
     y = np.full(size, -1, np.int32)
     y[:n] = ids
-    at = np.arange(count)[:, None] * STRIDE + np.arange(CONTEXT)
-    first = np.full(count, CONTEXT - STRIDE)
-    first[0] = 0
-    return x[at], y[at], first
+    pick = np.arange(count) if pick is None else pick
+    at = pick[:, None] * STRIDE + np.arange(CONTEXT)
+    return x.take(at), y.take(at), np.where(pick, CONTEXT - STRIDE, 0)
 
 
 class Scorer:
-    """Scores windows in batches, with the projections folded into the input rows."""
+    """Scores windows in batches, with the projections folded into one."""
 
     def __init__(self, flat: np.ndarray, v: Vocabulary):
-        p = unpack(flat, v)
-        scale = np.float32(1 / np.sqrt(WIDTH))
-        vo = p["v"] @ p["o"]
-        fold = lambda m: np.concatenate([m @ p["q"] * scale, m @ p["k"], m @ vo, m], axis=1).astype(np.float32)
-        # Query, key and value parts are linear in row + position, so both are folded once.
-        self.table, self.pos = fold(p["emb"]), fold(p["pos"])
-        self.out, self.bias, self.v = np.ascontiguousarray(p["out"]), p["bias"], v
-        # Bounds on the logits, by the longest vectors: mostly small enough for exponentials as they are.
-        longest = lambda m: float(np.sqrt((m * m).sum(-1).max()))
-        d = WIDTH
-        self.far = (longest(self.table[:, :d]) + longest(self.pos[:, :d])) * (longest(self.table[:, d : 2 * d]) + longest(self.pos[:, d : 2 * d])) > 60
-        self.steep, self.base = longest(self.out.T), float(np.abs(self.bias).max())
-
-    def hidden(self, x: np.ndarray) -> np.ndarray:
-        d = WIDTH
-        t = self.table[x]
-        t += self.pos
-        a = t[..., :d] @ t[..., d : 2 * d].transpose(0, 2, 1)
-        if self.far:
-            a += _MASK
-            a -= a.max(-1, keepdims=True)
-        np.exp(a, out=a)
-        a *= _LOWER
-        mixed = a @ t[..., 2 * d : 3 * d]
-        mixed /= (a @ np.ones(CONTEXT, a.dtype))[..., None]
-        mixed += t[..., 3 * d :]
-        return mixed
-
+        self.p, self.v = unpack(flat, v), v
+        self.qk = self.p["q"] @ self.p["k"].T * np.float32(1 / np.sqrt(WIDTH))
+        self.vo = self.p["v"] @ self.p["o"]
+        self.output = _Output(self.p["out"], self.p["bias"], CHUNK * CONTEXT)
+        self.within = v.within + self.output.prior[v.cls]
+        self.attention, self.index = {}, np.arange(0, CHUNK * CONTEXT * v.classes, v.classes)
+
+    @np.errstate(over="ignore", invalid="ignore")
     def logprobs(self, x: np.ndarray, y: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-probabilities of the scored targets, and their windows."""
         on = (y >= 0) & (np.arange(CONTEXT) >= first[:, None])
-        h, target = self.hidden(x)[on], y[on]
-        z = h @ self.out
-        z += self.bias
-        c = self.v.cls[target]
-        mine = z[np.arange(len(c)), c]
-        if len(h) and float(np.sqrt((h * h).sum(-1).max())) * self.steep + self.base > 80:
-            np.minimum(z, 80, out=z)
-        np.exp(z, out=z)
-        return mine - np.log(z @ np.ones(z.shape[-1], z.dtype)) + self.v.within[target], np.nonzero(on)[0]
+        lo, found = int(on.any(0).argmax()), np.empty(on.shape, np.float32)
+        if lo not in self.attention:
+            self.attention[lo] = _Attention(lo, CHUNK, np.dtype(np.float32))
+        attention, r = self.attention[lo], CONTEXT - lo
+        for at in range(0, len(x), CHUNK):
+            now = slice(at, at + CHUNK)
+            f0 = self.p["emb"].take(x[now], 0)
+            f0 += self.p["pos"]
+            n = len(f0)
+            _, _, a, s = attention(f0, self.qk)
+            mixed = a @ f0
+            mixed *= s[..., None]
+            h = mixed.reshape(-1, WIDTH) @ self.vo
+            h.reshape(n, r, WIDTH)[:] += f0[:, lo:]
+            target = self.index[: n * r] + self.v.cls.take(np.maximum(y[now, lo:], 0).reshape(-1))
+            _, s, mine = self.output(_grouped(h, n), target)
+            found[now, lo:] = (mine - np.log(s)).reshape(n, r)
+        return found[on] + self.within[y[on]], np.nonzero(on)[0]
 
 
 def _encode(path: str):
@@ -329,28 +408,29 @@ def _train(shared, turn: int):
 
         v, flat = shared.value
         part = TaskContext.get().partitionId()
-        copy, tokens, number, held, waiting = Adam(flat.copy(), v), 0, 0, [], 0
+        # Windows that begin a document wait apart: in the others' batches no context is scored.
+        copy, tokens, number, held, waiting = Adam(flat.copy(), v), 0, 0, ([], []), [0, 0]
 
         def flush() -> pa.RecordBatch:
             nonlocal copy, tokens, number, held, waiting
-            steps(1)
+            held, waiting = ([], held[1] + held[0]), [0, sum(waiting)]
+            steps(1, 1)
             blocks = [copy.flat[i : i + BLOCK] for i in range(0, len(copy.flat), BLOCK)]
             out = pa.RecordBatch.from_arrays([pa.array([(part << 20) + number] * len(blocks), pa.int64()), pa.array(range(len(blocks)), pa.int32()), pa.array([float(copy.t)] * len(blocks)), pa.array([b.astype(np.float32).tobytes() for b in blocks], pa.binary())], names=["copy", "block", "weight", "data"])
-            copy, tokens, number, held, waiting = Adam(flat.copy(), v), 0, number + 1, [], 0
+            copy, tokens, number, held, waiting = Adam(flat.copy(), v), 0, number + 1, ([], []), [0, 0]
             return out
 
-        def steps(least: int) -> None:
+        def steps(kind: int, least: int) -> None:
             """Steps of ``BATCH`` windows; fewer than ``least`` are held."""
-            nonlocal held, waiting
-            if waiting < least:
+            if waiting[kind] < least:
                 return
-            x, y = (np.concatenate([w[k] for w in held]) for k in range(2))
+            x, y = (np.concatenate([w[k] for w in held[kind]]) for k in range(2))
             at = 0
             while len(x) - at >= least:
                 now = y[at : at + BATCH]
                 copy.step(x[at : at + BATCH], np.where(now >= 0, v.cls[now], 0), now >= 0)
                 at += BATCH
-            held, waiting = [(x[at:], y[at:])] if at < len(x) else [], max(0, len(x) - at)
+            held[kind][:], waiting[kind] = [(x[at:], y[at:])] if at < len(x) else [], max(0, len(x) - at)
 
         for batch in batches:
             ids, offsets = _concat(batch)
@@ -358,13 +438,14 @@ def _train(shared, turn: int):
                 mine = ids[offsets[i] : offsets[i + 1]]
                 if not len(mine):
                     continue
-                x, y, first = windows(mine, v)
-                pick = turn_windows(mine, len(x), turn)
-                if len(pick):
-                    y = np.where(np.arange(CONTEXT) >= first[pick][:, None], y[pick], -1)
-                    held.append((x[pick], y))
-                    waiting += len(pick)
-                    steps(BATCH)
+                pick = turn_windows(mine, window_count(len(mine)), turn)
+                for kind, some in enumerate((pick[pick == 0], pick[pick > 0])):
+                    if len(some):
+                        x, y, first = windows(mine, v, some)
+                        y[:, : first[0]] = -1
+                        held[kind].append((x, y))
+                        waiting[kind] += len(some)
+                        steps(kind, BATCH)
                 tokens += len(mine)
                 if tokens >= REPLICA:
                     yield flush()
@@ -408,6 +489,8 @@ def _score(shared):
             def flush() -> None:
                 x, y, first = (np.concatenate([w[k] for w in held]) for k in range(3))  # noqa: B023
                 owner = np.concatenate(doc)  # noqa: B023
+                order = np.argsort(first, kind="stable")  # those that begin a document are scored together
+                x, y, first, owner = x[order], y[order], first[order], owner[order]
                 for at in range(0, len(x), 64):
                     p, w = scorer.logprobs(x[at : at + 64], y[at : at + 64], first[at : at + 64])
                     total[:] += np.bincount(owner[at : at + 64][w], p, len(total))  # noqa: B023

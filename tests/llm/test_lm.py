@@ -157,3 +157,65 @@ def test_every_token_trains_once(v, monkeypatch):
         assert list(lm._train(shared, turn)([batch]))
     assert sorted(trained) == sorted(v.cls[np.concatenate(docs)].tolist())
     assert max(sizes) <= lm.BATCH
+
+
+def plain(p, x, y, on):
+    """The mean loss, from whole softmaxes in double precision."""
+    p = {n: a.astype(np.float64) for n, a in p.items()}
+    h0 = p["emb"][x] + p["pos"]
+    a = (h0 @ p["q"]) @ (h0 @ p["k"]).transpose(0, 2, 1) / np.sqrt(lm.WIDTH) + np.triu(np.full((lm.CONTEXT, lm.CONTEXT), -np.inf), 1)
+    a = np.exp(a - a.max(-1, keepdims=True))
+    z = (h0 + (a / a.sum(-1, keepdims=True)) @ (h0 @ p["v"]) @ p["o"]) @ p["out"] + p["bias"]
+    top = z.max(-1)
+    z = np.log(np.exp(z - top[..., None]).sum(-1)) + top - np.take_along_axis(z, y[..., None], 2)[..., 0]
+    return z[on].mean()
+
+
+@pytest.mark.parametrize("n, first, stretch, bias", [(3, 0, 1, 0), (5, 16, 1, 0), (20, 16, 1, 0), (20, 16, 4, 0), (17, 0, 4, 90), (8, 16, 1, -90)])
+def test_gradient_of_any_size(v, n, first, stretch, bias):
+    """With and without context, in whole groups or not, and where exponentials overflow or vanish."""
+    rng = np.random.default_rng(n)
+    flat = (lm.initial(v) + rng.standard_normal(len(lm.initial(v))).astype(np.float32) * 0.1) * np.float32(stretch)
+    p = {name: a.astype(np.float64) for name, a in lm.unpack(flat, v).items()}
+    p["bias"][0] += bias
+    x, y = rng.integers(0, v.inputs, (n, lm.CONTEXT)), rng.integers(1, v.classes, (n, lm.CONTEXT))
+    on = (rng.random((n, lm.CONTEXT)) < 0.9) & (np.arange(lm.CONTEXT) >= first)
+    loss, g = lm.gradient({name: a.astype(np.float32) for name, a in p.items()}, x, y, on)
+    assert loss == pytest.approx(plain(p, x, y, on), rel=1e-3)
+    _, exact = lm.gradient(p, x, y, on)
+    for name in p:
+        assert np.abs(g[name] - exact[name]).max() <= 1e-3 * np.abs(exact[name]).max()
+        way = rng.standard_normal(p[name].shape) * 1e-6
+        up, down = ({**p, name: p[name] + s * way} for s in (1, -1))
+        assert (way * exact[name]).sum() == pytest.approx((plain(up, x, y, on) - plain(down, x, y, on)) / 2, rel=1e-3, abs=1e-12)
+
+
+def test_scores_of_great_logits_are_those_of_a_loop(v):
+    rng = np.random.default_rng(6)
+    flat = lm.initial(v) * np.float32(4)
+    lm.unpack(flat, v)["bias"][:] += rng.standard_normal(v.classes).astype(np.float32) * 60
+    ids = rng.integers(0, 400, 700).astype(np.uint16)
+    got, owner = lm.Scorer(flat, v).logprobs(*lm.windows(ids, v))
+    assert len(got) == 700 and np.isfinite(got).all() and got.sum() == pytest.approx(slow(flat, v, ids), rel=1e-3)
+    assert owner.tolist() == sorted(owner.tolist())
+
+
+def test_openings_train_apart(v, monkeypatch):
+    """So that the positions which are only context cost no attention: but for a copy's last step, none is mixed."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    mixed = []
+
+    def step(self, x, y, on):
+        opens = on[:, 0]
+        mixed.append(opens.any() and not opens.all())
+        self.t += 1
+
+    monkeypatch.setattr(lm.Adam, "step", step)
+    monkeypatch.setattr(TaskContext, "get", lambda: type("T", (), {"partitionId": lambda _: 0})())
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(0, 400, n).astype(np.uint16).tobytes() for n in rng.integers(1, 1500, 200)]
+    shared = type("S", (), {"value": (v, lm.initial(v))})
+    assert list(lm._train(shared, 0)([pa.RecordBatch.from_arrays([pa.array(docs, pa.binary())], names=["ids"])]))
+    assert len(mixed) > 30 and sum(mixed) <= 2
