@@ -171,7 +171,7 @@ def plain(p, x, y, on):
     return z[on].mean()
 
 
-@pytest.mark.parametrize("n, first, stretch, bias", [(3, 0, 1, 0), (5, 16, 1, 0), (20, 16, 1, 0), (20, 16, 4, 0), (17, 0, 4, 90), (8, 16, 1, -90)])
+@pytest.mark.parametrize("n, first, stretch, bias", [(3, 0, 1, 0), (5, 16, 1, 0), (40, 16, 1, 0), (40, 16, 4, 0), (17, 0, 4, 90), (8, 16, 1, -90)])
 def test_gradient_of_any_size(v, n, first, stretch, bias):
     """With and without context, in whole groups or not, and where exponentials overflow or vanish."""
     rng = np.random.default_rng(n)
@@ -219,3 +219,8 @@ def test_openings_train_apart(v, monkeypatch):
     shared = type("S", (), {"value": (v, lm.initial(v))})
     assert list(lm._train(shared, 0)([pa.RecordBatch.from_arrays([pa.array(docs, pa.binary())], names=["ids"])]))
     assert len(mixed) > 30 and sum(mixed) <= 2
+
+
+@pytest.mark.parametrize("text", ["x", " a  b\n\n c\t", "it's 12,5 \u00e9\u4e00\U0001f600 <|endoftext|>", "ab " * 30000, " " * 70000 + "z"])
+def test_packed_ids(text):
+    assert np.frombuffer(lm.packed_ids(lm.tokenizer(), text), np.uint16).tolist() == lm.token_ids(lm.tokenizer(), text).tolist()
