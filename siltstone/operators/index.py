@@ -111,6 +111,10 @@ class AdHocIndex:
         """The index with only some documents as possible hits, if it can tell them as it scans."""
         return AdHocIndex(self.docs, self.fields, condition if self.only_if is None else self.only_if & condition)
 
+    def is_all_text(self, field: str) -> bool:
+        """Whether all the text that is searched is a string field's, so that a term of the index is one of the field."""
+        return self.fields == [field] and self.docs.schema[field].dataType.typeName() == "string"
+
     def only(self, field: str) -> AdHocIndex:
         """The index of one field, with statistics of its own."""
         return AdHocIndex(self.docs, [field])
@@ -135,15 +139,21 @@ class AdHocIndex:
         return postings(self.tokens)
 
     def matching(self, condition: Callable[[Column], Column], held: Column | None = None) -> DataFrame:
-        """``(document_id, dl, term, tf, df)`` of the terms that meet a condition, however many they are.
+        """``(document_id, dl, term, tf, df, hit)`` of the terms that meet a condition, however many they are.
 
-        ``held`` is a condition on normalised texts that any such document meets.
+        ``held`` is a condition on normalised texts that any such document
+        meets. A document's length is a column before its tokens are rows;
+        otherwise it would be counted again for each token. Rows and document
+        frequencies read one exchange, so both read every column of it.
         """
-        rows = self._normal()
+        allowed = F.lit(True) if self.only_if is None else F.coalesce(self.only_if, F.lit(False))
+        rows = self._normal(allowed.alias("hit"))
         rows = rows if held is None else rows.where(held)
-        rows = rows.select("document_id", token_count(F.col("normal")).alias("dl"), F.explode(split_tokens(F.col("normal"))).alias("term")).where(condition(F.col("term")))
-        found = rows.groupBy("document_id", "dl", "term").agg(F.count("*").alias("tf"))
-        return found.join(found.groupBy("term").agg(F.count("*").alias("df")), "term")
+        rows = rows.select("document_id", "hit", F.inline(F.array(F.struct(token_count(F.col("normal")).alias("dl"), split_tokens(F.col("normal")).alias("toks")))))
+        rows = rows.select("document_id", "hit", "dl", F.explode("toks").alias("term")).where(condition(F.col("term")))
+        found = rows.groupBy("document_id", "dl", "term").agg(F.count("*").alias("tf"), F.bool_or("hit").alias("hit"))
+        df = F.count_if((F.col("tf") > 0) & F.col("hit")) + F.count_if((F.col("tf") > 0) & ~F.col("hit"))
+        return found.join(found.groupBy("term").agg(df.alias("df")), "term")
 
     def phrase(self, terms: list[str]) -> DataFrame:
         """``(document_id, at_0, at_1, ...)``: the positions of each term in the documents that hold all; no shuffle."""

@@ -69,7 +69,7 @@ class SegmentedIndex(AdHocIndex):
 
     def matching(self, condition: Callable[[Column], Column], held: Column | None = None) -> DataFrame:
         stored = self._stored.where(condition(F.col("term"))).select("document_id", "dl", "term", "tf")
-        found = stored.unionByName(self.fresh.matching(condition, held).drop("df"))
+        found = stored.unionByName(self.fresh.matching(condition, held).drop("df", "hit"))
         return found.join(found.groupBy("term").agg(F.count("*").alias("df")), "term")
 
     def phrase(self, terms: list[str]) -> DataFrame:

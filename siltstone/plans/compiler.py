@@ -86,13 +86,16 @@ def _expanded(index: AdHocIndex, wanted: Condition, held: Column | None, bm25: B
 
     As in a match, scores are of all text, and ``field`` says in which string field one of the terms must be.
     """
-    rows = index.matching(wanted, held).crossJoin(F.broadcast(index.collection))  # one row
+    own = None
+    if field and not index.is_all_text(field):
+        own = F.exists(tokenize(P.string_value(index.docs.schema, field)), wanted)
+    view = index if own is None else index.among(own)
+    rows = (view or index).matching(wanted, held).crossJoin(F.broadcast(index.collection))  # one row
     part = bm25.idf(F.col("n"), F.col("df")) * bm25.weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    if "hit" in rows.columns:
+        rows = rows.where("hit")
     hits = rows.groupBy("document_id").agg(F.sum(part).alias("score"))
-    if field:
-        own = index.docs.where(F.exists(tokenize(P.string_value(index.docs.schema, field)), wanted)).select("document_id")
-        hits = hits.join(own, "document_id", "left_semi")
-    return hits
+    return hits if view else hits.join(index.docs.where(own).select("document_id"), "document_id", "left_semi")
 
 
 def _within(positions: Column, before: Column, slop: int) -> Column:
