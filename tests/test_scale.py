@@ -1,7 +1,5 @@
 """Plans whose cost follows the input: long documents, large tables."""
 
-from pyspark.sql import functions as F
-
 from siltstone.operators.index import AdHocIndex
 from siltstone.plans.compiler import compile_query
 from siltstone.plans.dsl import Prefix
@@ -26,3 +24,9 @@ def test_a_prefix_in_a_field_is_told_in_the_scan(spark):
     every = {r["document_id"]: r["score"] for r in compile_query(index, Prefix("", "th")).collect()}
     assert sorted(every) == ["a", "b", "c"]
     assert {r["document_id"]: r["score"] for r in found.collect()} == {k: every[k] for k in "ac"}
+
+
+def test_lengths_are_counted_before_tokens_are_rows(spark):
+    rows = spark.createDataFrame([("a", "the then x")], "document_id string, text string")
+    above = _plan(compile_query(AdHocIndex(rows, ["text"]), Prefix("", "th"))).split("Generate explode")[0]
+    assert "Aggregate" in above and "octet_length" not in above
