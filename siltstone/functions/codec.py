@@ -40,19 +40,23 @@ def encode_varint(values) -> bytes:
 
 def decode_varint(data: bytes) -> list[int]:
     """All integers of a LEB128 sequence; truncated and overlong ones raise ValueError."""
-    out, value, shift = [], 0, 0
-    for byte in data:
-        if shift > 63 or (shift == 63 and byte > 1):
-            raise ValueError("a varint is longer than 64 bits")
-        value |= (byte & 0x7F) << shift
-        if byte & 0x80:
-            shift += 7
-        else:
-            out.append(value)
-            value = shift = 0
-    if shift:
+    return decode_array(data).tolist()
+
+
+def decode_array(data: bytes) -> np.ndarray:
+    """As ``decode_varint``, unsigned and a whole sequence at a time."""
+    byte = np.frombuffer(data, np.uint8)
+    end = np.flatnonzero(byte < 128)
+    start = np.append(0, end + 1)  # the last is where what is left begins
+    size = np.diff(start)
+    if (size > 10).any() or (byte[end[size == 10]] > 1).any() or len(byte) - start[-1] >= 10:
+        raise ValueError("a varint is longer than 64 bits")
+    if start[-1] < len(byte):
         raise ValueError("a varint is cut short")
-    return out
+    if not len(end):
+        return np.zeros(0, np.uint64)
+    shift = (7 * (np.arange(len(byte)) - np.repeat(start[:-1], size))).astype(np.uint64)
+    return np.bitwise_or.reduceat((byte & 127).astype(np.uint64) << shift, start[:-1])
 
 
 @pandas_udf(T.BinaryType())
