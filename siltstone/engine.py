@@ -20,6 +20,7 @@ from siltstone.plans import logical
 from siltstone.plans.compiler import compile_filter, compile_query, predicate
 from siltstone.plans.dsl import Aggregation, Bool, ConstantScore, DisMax, Match, MatchAll, Query, SearchRequest, parse_request
 from siltstone.sources.mapping import Mapping, typed, with_fields
+from siltstone.sources.scratch import work_folder
 from siltstone.sources.store import BUCKETS, Store, apply_log
 
 #: Bytes of a change log up to which its ids are broadcast; they are a small part of it.
@@ -215,6 +216,7 @@ class Engine:
         self.spark, self.store, self.bm25 = spark, Store(spark, root), bm25 or BM25()
         self.cache, self.log = ResultCache(cache), QueryLog(spark=spark, folder=f"{root.rstrip('/')}/_queries")
         self.metrics_started = time.time()
+        self._texts: dict[str, tuple[tuple[str, int], AdHocIndex]] = {}
 
     def create_index(self, name: str, mapping: Mapping | None = None, buckets: int = BUCKETS) -> None:
         """``buckets`` is the number of parts of the postings' terms, of which a query reads those of its own; more for large indexes."""
@@ -231,16 +233,26 @@ class Engine:
         for s in manifest["segments"]:
             if not self.store.files.exists(f"{name}/postings/segment={s}/_SUCCESS"):
                 own = self._searchable(typed(self.store.segments(name, [s]).select("id", "body"), mapping), name)
-                write_postings(own, root, s, manifest["buckets"])
+                write_postings(own, root, s, manifest["buckets"], self.store.files.size(f"{name}/segments/{s:06d}"))
         changed = None
         if manifest["batches"]:
             changed = log.select(F.col("id").alias("document_id")).distinct()
             changed = F.broadcast(changed) if self.store.files.size(f"{name}/log") <= BROADCAST_BYTES else changed
-        nothing = self.spark.createDataFrame([], "id string, body string")
-        fresh = self._searchable(typed(apply_log(nothing, log), mapping), name)
+        fresh = self._fresh(name, log, mapping)
         docs = self._searchable(self.store.documents(name), name, fields)
         return SegmentedIndex(docs.docs, docs.fields, root, manifest["segments"], manifest["buckets"], fresh, changed)
 
+    def _fresh(self, name: str, log: DataFrame, mapping: Mapping) -> AdHocIndex:
+        """The documents that the log adds, as an index; their text is written once for a state of the log, since a search reads it several times."""
+        version = self.store.version(name)
+        if self._texts.get(name, (None,))[0] != version:
+            nothing = self.spark.createDataFrame([], "id string, body string")
+            own = self._searchable(typed(apply_log(nothing, log), mapping), name)
+            path = work_folder(self.spark, "fresh")
+            own.docs.select("document_id", own.text().alias("text")).write.parquet(path)
+            self._texts[name] = version, AdHocIndex(self.spark.read.schema("document_id string, text string").parquet(path), ["text"])
+        return self._texts[name][1]
+
     def _searchable(self, docs: DataFrame, name: str, fields: list[str] | None = None) -> AdHocIndex:
         """Typed documents as an index of all their text."""
         docs = with_fields(docs, fields or [])

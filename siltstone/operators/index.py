@@ -30,7 +30,7 @@ BLOCK = 1 << 20
 POSTINGS = "term string, document_id string, tf long, dl long, positions array<int>"
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings of whole documents; all tokens of a document are in its row, so nothing has to be shuffled to group them."""
     for whole in batches:
         column = whole.column("toks")
@@ -63,7 +63,7 @@ def postings(tokens: DataFrame) -> DataFrame:
 
     Positions are token ordinals in the text. Rows that share a document_id have postings each.
     """
-    return tokens.select("document_id", "toks").mapInArrow(_grouped, POSTINGS)
+    return tokens.select("document_id", "toks").mapInArrow(grouped, POSTINGS)
 
 
 def compact_ids(ids: DataFrame) -> DataFrame:
@@ -107,6 +107,11 @@ class AdHocIndex:
     def tokens(self) -> DataFrame:
         return self._normal().select("document_id", split_tokens(F.col("normal")).alias("toks"))
 
+    @cached_property
+    def lengths(self) -> DataFrame:
+        """``(document_id, dl)``, a row a document."""
+        return self._normal().select("document_id", token_count(F.col("normal")).alias("dl"))
+
     def among(self, condition: Column) -> AdHocIndex | None:
         """The index with only some documents as possible hits, if it can tell them as it scans."""
         return AdHocIndex(self.docs, self.fields, condition if self.only_if is None else self.only_if & condition)
@@ -171,8 +176,7 @@ class AdHocIndex:
     @cached_property
     def collection(self) -> DataFrame:
         """One row ``(n, total_length, avgdl)``."""
-        dl = self._normal().select(token_count(F.col("normal")).alias("dl"))
-        return dl.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_length"), F.avg("dl").alias("avgdl"))
+        return self.lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_length"), F.avg("dl").alias("avgdl"))
 
     def save(self, path: str, buckets: int | None = None) -> StoredIndex:
         """Write the documents, postings in term buckets, and the statistics that they imply.

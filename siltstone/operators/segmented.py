@@ -1,28 +1,69 @@
 """The index of a store: stored postings of its segments, and its change log's documents as they are.
 
-Postings of a segment are written once, with the segment's documents. What the
-log adds is indexed in the scan, what it changes or removes is left out of the
+Postings of a segment are written once, with the segment's documents. The
+text that the log adds is written once for a state of the log and indexed in the scan, what it changes or removes is left out of the
 segments' postings; statistics are of the documents that are left.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.operators.index import POSTINGS, AdHocIndex, count_terms, phrase_positions, term_buckets
+from siltstone.operators.hashing import spark_xxhash64
+from siltstone.operators.index import POSTINGS, AdHocIndex, count_terms, grouped, phrase_positions, term_buckets
 
 LENGTHS = "document_id string, dl long"
-
-
-def write_postings(index: AdHocIndex, root: str, segment: int, buckets: int) -> None:
-    """Lengths and postings of a segment's documents; the postings' ``_SUCCESS`` says that both are whole."""
-    lengths = index.tokens.select("document_id", F.size("toks").cast("long").alias("dl"))
-    lengths.write.mode("overwrite").parquet(f"{root}/lengths/segment={segment}")
-    rows = index.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartition("bucket", F.pmod(F.xxhash64("document_id"), F.lit(4)))
+#: Slices of a bucket of a segment, at least, and the bytes of documents from which there are more.
+LEAST_SLICES, SLICE_BYTES = 4, 8 << 20
+
+
+def _packed(buckets: int, slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Postings of some documents as a few rows: those of a bucket in a compressed block, sorted by term."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for n, found in enumerate(grouped(batches)):
+            coded = found.column("term").dictionary_encode()
+            bucket = np.array([spark_xxhash64(t.encode()) % buckets for t in coded.dictionary.to_pylist()], np.int32)
+            term = coded.indices.to_numpy()
+            order = np.lexsort((term, bucket[term]))
+            found, own = found.take(pa.array(order)), bucket[term][order]
+            start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            data = []
+            for at, stop in zip(start, np.append(start[1:], len(own)), strict=True):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, found.schema, options=options) as to:
+                    to.write_batch(found.slice(at, stop - at))
+                data.append(out.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(own[start]), pa.array(np.full(len(start), n % slices, np.int32)), pa.array(data, pa.binary())], names=["bucket", "slice", "data"])
+
+    return pack
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for bucket, data in zip(whole.column("bucket"), whole.column("data"), strict=True):
+            with pa.ipc.open_stream(data.as_buffer()) as blocks:
+                for b in blocks:
+                    yield b.append_column("bucket", pa.array(np.full(b.num_rows, bucket.as_py(), np.int32)))
+
+
+def write_postings(index: AdHocIndex, root: str, segment: int, buckets: int, size: int = 0) -> None:
+    """Lengths and postings of a segment's documents, ``size`` bytes of them; the postings' ``_SUCCESS`` says that both are whole.
+
+    Postings are shuffled in compressed blocks of a bucket, of which there are as many slices as the size asks for.
+    """
+    index.lengths.write.mode("overwrite").parquet(f"{root}/lengths/segment={segment}")
+    slices = max(LEAST_SLICES, -(-size // (buckets * SLICE_BYTES)))
+    blocks = index.tokens.select("document_id", "toks").mapInArrow(_packed(buckets, slices), "bucket int, slice int, data binary")
+    blocks = blocks.repartition(buckets * slices, "bucket", "slice") if slices > LEAST_SLICES else blocks.repartition("bucket", "slice")
+    rows = blocks.select("bucket", "data").mapInArrow(_unpacked, f"{POSTINGS}, bucket int")
     rows.sortWithinPartitions("bucket", "term", "document_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings/segment={segment}")
 
 
@@ -56,8 +97,7 @@ class SegmentedIndex(AdHocIndex):
 
     @cached_property
     def collection(self) -> DataFrame:
-        size = F.size("toks").cast("long").alias("dl")
-        dl = self._read("lengths", LENGTHS).select("dl").unionByName(self.fresh.tokens.select(size))
+        dl = self._read("lengths", LENGTHS).select("dl").unionByName(self.fresh.lengths.select("dl"))
         return dl.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_length"), F.avg("dl").alias("avgdl"))
 
     def counted(self, terms: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.errors import InvalidQuery
-from siltstone.functions import levenshtein_bytes, query_tokens, tokenize
+from siltstone.functions import levenshtein_bytes, normalize, query_tokens, split_tokens, tokenize
 from siltstone.operators import filters as P
 from siltstone.operators.index import AdHocIndex
 from siltstone.operators.ranking import BM25, Words, combine, evaluate, scored
@@ -46,8 +46,18 @@ def predicate(index: AdHocIndex, q: Query) -> Column | None:
 
 def _holds(index: AdHocIndex, field: str, terms: list[str]) -> Column:
     """Whether a string field has one of the terms."""
-    wanted = F.array(*[F.lit(t) for t in terms])
-    return F.arrays_overlap(tokenize(P.string_value(index.docs.schema, field)), wanted)
+    return _overlap(normalize(P.string_value(index.docs.schema, field)), terms)
+
+
+def _overlap(normal: Column, terms: list[str]) -> Column:
+    """Whether a normalised text has one of the terms; an empty one splits to an empty word, which is none of them."""
+    return F.arrays_overlap(F.split(normal, " "), F.array(*[F.lit(t) for t in terms]))
+
+
+def _normal_field(index: AdHocIndex, field: str) -> DataFrame:
+    """``(document_id, normal)`` of a string field: by a generator, so that a condition on it doesn't read and normalise the field again."""
+    made = F.struct(normalize(P.string_value(index.docs.schema, field)).alias("normal"))
+    return index.docs.select("document_id", F.inline(F.array(made)))
 
 
 def near_tokens(q: Fuzzy) -> Condition:
@@ -95,7 +105,7 @@ def _expanded(index: AdHocIndex, wanted: Condition, held: Column | None, bm25: B
     if "hit" in rows.columns:
         rows = rows.where("hit")
     hits = rows.groupBy("document_id").agg(F.sum(part).alias("score"))
-    return hits if view else hits.join(index.docs.where(own).select("document_id"), "document_id", "left_semi")
+    return hits if view or own is None else hits.join(_normal_field(index, field).where(F.exists(split_tokens(F.col("normal")), wanted)).select("document_id"), "document_id", "left_semi")
 
 
 def _within(positions: Column, before: Column, slop: int) -> Column:
@@ -131,7 +141,7 @@ def compile_query(index: AdHocIndex, q: Query, bm25: BM25 | None = None) -> Data
         held = _holds(index, q.field, terms) if q.field and terms else None
         view = index if held is None else index.among(held)
         hits = scored(view or index, terms, bm25, q.term_boosts, q.boost, q.operator == "and")
-        return hits if view else hits.join(index.docs.where(held).select("document_id"), "document_id", "left_semi")
+        return hits if view else hits.join(_normal_field(index, q.field).where(_overlap(F.col("normal"), terms)).select("document_id"), "document_id", "left_semi")
     if isinstance(q, MultiMatch):
         terms = query_tokens(q.value)
         parts = [scored(index.only(f), terms, bm25, boost=b) for f, b in q.fields]
